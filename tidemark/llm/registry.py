@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules
+from . import bpe, chat_format, mixing, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_bpe": bpe.op4_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
