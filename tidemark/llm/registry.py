@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, mixing, quality_rules, toxicity
+from . import bpe, chat_format, lm_score, mixing, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op3_chat_format": chat_format.OP3_SQL,
+    "op8_lm_score": lm_score.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
