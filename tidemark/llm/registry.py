@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, lm_score, mixing, quality_rules, toxicity
+from . import ann, bpe, chat_format, lm_score, mixing, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
+    "op5_ann": ann.op5_ann,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_lm_score": lm_score.op8_lm_score,
     "op10_mixing": mixing.op10_mixing,
