@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat_format, lm_score, mixing, quality_rules, toxicity
+from . import ann, bpe, chat_format, jaccard_join, lm_score, mixing, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
     "op5_ann": ann.op5_ann,
@@ -16,6 +17,7 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op3_chat_format": chat_format.OP3_SQL,
     "op8_lm_score": lm_score.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
