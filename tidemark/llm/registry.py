@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat_format, jaccard_join, lm_score, mixing, quality_rules, suffix_dedup, toxicity
+from . import ann, bpe, chat_format, html_extract, jaccard_join, lm_score, mixing, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
     "op5_ann": ann.op5_ann,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
