@@ -1,29 +1,70 @@
-"""The corpus pipeline: documents pass the STAGES in order; each stage's rows are written and read again."""
+"""The corpus pipeline: documents pass the STAGES in order; each stage's rows are written and read again.
+
+toxicity      documents that the model rejects go; its labels are those of the tables' folder
+near copies   of each group of near copies the document of least id stays (rows repeated whole: one of them);
+              rows without an id stay, as none of them can be named
+passages      passages that repeat are cut but for their first occurrence; documents left empty go
+mixing        documents are taken as often as the mix of sources says
+encoding      token ids of what is left
+
+Every stage but the last returns the columns of documents; n_chars follows the text.  Null and empty texts are
+clean documents to the first three stages; the mix takes them as it takes others of their source.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
-from tidemark.llm.mixing import mix
+from tidemark.llm import bpe, jaccard_join, mixing, suffix_dedup, toxicity
+from tidemark.llm.common import SPACES, table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    c = written(jaccard_join.jaccard_components(docs).select("doc_id", "component_id").where("doc_id is not null"), "pipeline-components")
+    stay = c.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(stay, docs["doc_id"] == stay["__id"], "left_semi")
+    if c.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        named = named.dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where("doc_id is null"))
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    blank = lambda: F.length(F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES))) == 0
+    cut = suffix_dedup.remove_passages(docs.withColumn("__blank", blank()).withColumn("__chars", F.length("text")))
+    left = cut.where(F.col("__blank") | ~blank())
+    n_chars = F.when(F.length("text") == F.col("__chars"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that is taken twice is two rows."""
+    return mixing.mixed_rows(docs)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    m = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
-    hit = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & docs["source"].eqNullSafe(m["__source"]))
-    return hit.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, bpe.default_path(), keys=("doc_id",), digest=True)
 
 
-STAGES = [("mixing", mixing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("passages", cut_passages),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
 
-#: The stages before the last have results that SQL can't give.
+#: SQL can express neither the classifier nor the encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,8 +53,10 @@ def _order(doc: str, p: str) -> F.Column:
     return F.when(F.col(p) > 0, F.floor(odds / (1 + odds) * F.lit(float(2 ** (BITS * LEVELS)))).cast("long")).otherwise(F.lit(2 ** (BITS * LEVELS)).cast("long"))
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", doc: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, copies (how often it is taken)."""
+def mix_plan(docs: DataFrame, source: str = "source", text: str = "text", doc: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
+    """The sizes (doc_id, source, size) and a row per source: source_size, target, whole (certain copies), p
+    (probability of one more), end and nearer (where in the order the source stops, and whether that place is
+    taken too)."""
     sized = written(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -62,10 +64,10 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc: str =
     goal = goal.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), ratio - whole)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     # base: words before the range that is still open; at: the bits of that range's place
     state = written(goal.withColumn("base", F.lit(0).cast("long")).withColumn("at", F.lit(0).cast("long")).withColumn("step", F.lit(0).cast("long")), "mix-state")
-    rows = written(join_small(sized, state.select("source", "p", "whole"), ["source"], "doc_id").withColumn("place", _order("doc_id", "p")), "mix-rows")
+    rows = written(join_small(sized, state.select("source", "p"), ["source"], "doc_id").where("p > 0").withColumn("place", _order("doc_id", "p")), "mix-rows")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        here = join_small(rows.where("p > 0").select("doc_id", "source", "size", F.shiftright("place", shift).alias("b")), state.select("source", "at"), ["source"], "doc_id").where(F.shiftright("b", BITS) == F.col("at"))
+        here = join_small(rows.select("doc_id", "source", "size", F.shiftright("place", shift).alias("b")), state.select("source", "at"), ["source"], "doc_id").where(F.shiftright("b", BITS) == F.col("at"))
         sums = here.groupBy("source", "b").agg(F.sum("size").alias("words"))
         lists = sums.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("b", "words"))).alias("bins"))
         new = join_small(state, lists, ["source"], "source")
@@ -85,10 +87,29 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc: str =
         state = written(new, "mix-state")
     # the last step is one place in the order; it is taken if that brings the source nearer to its rest
     nearer = (F.col("step") > 0) & (F.col("base") + F.col("step") - F.col("rest") < F.col("rest") - F.col("base"))
-    ends = state.select("source", "source_size", "target", F.col("at").alias("end"), nearer.alias("nearer"))
-    out = join_small(rows, ends, ["source"], "doc_id")
-    more = (F.col("p") > 0) & ((F.col("place") < F.col("end")) | ((F.col("place") == F.col("end")) & F.col("nearer")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"))
+    return sized, state.select("source", "source_size", "target", "whole", "p", F.col("at").alias("end"), nearer.alias("nearer"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, source: str = "source", doc: str = "doc_id") -> DataFrame:
+    """rows with source_size, target and copies.  Decided row by row; rows are not shuffled unless sources are
+    too many to be broadcast."""
+    named = plan.select(F.col("source").alias(source), *[F.col(c).alias(f"__{c}") for c in plan.columns if c != "source"])
+    out = join_small(rows, named, [source], doc).withColumn("__place", _order(doc, "__p"))
+    more = (F.col("__p") > 0) & ((F.col("__place") < F.col("__end")) | ((F.col("__place") == F.col("__end")) & F.col("__nearer")))
+    return out.select(*rows.columns, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__whole") + more.cast("long")).alias("copies"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, copies (how often it is taken)."""
+    sized, plan = mix_plan(docs, source, text, doc, weights, share, most)
+    return with_copies(sized, plan)
+
+
+def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text", doc: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of docs, each as often as it is taken."""
+    _, plan = mix_plan(docs, source, text, doc, weights, share, most)
+    taken = with_copies(docs.select([F.col(c).alias(f"__d_{c}") for c in docs.columns]), plan, f"__d_{source}", f"__d_{doc}").where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select([F.col(f"__d_{c}").alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
