@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -21,12 +18,4 @@ def query(key: str, sql: str | None = None):
     return put
 
 
-@query(
-    "scan_filter_agg",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_price
-       FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2""",
-)
-def scan_filter_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") < F.expr("TIMESTAMP_NTZ '1998-09-02 00:00:00'"))
-    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-    return d.groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_price"))
+from . import basic, composed, loops  # noqa: E402, F401  the modules register their queries

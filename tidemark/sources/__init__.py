@@ -1 +1,7 @@
+"""Sources: tables, epochs given as values, folders that are streamed, and pollers."""
 
+from .epochs import from_epochs, from_parquet, named_inputs
+from .polling import PollingSource
+from .stream import EpochFolder, stream_from_dir
+
+__all__ = ["EpochFolder", "PollingSource", "from_epochs", "from_parquet", "named_inputs", "stream_from_dir"]

@@ -1 +1,6 @@
+"""Structured Streaming twins of the per-epoch operators."""
 
+from .sealed import close_time, deduplicated, epoch_aggregate, revised, sealed
+from .state import NotifyEpochs, RunningSum
+
+__all__ = ["NotifyEpochs", "RunningSum", "close_time", "deduplicated", "epoch_aggregate", "revised", "sealed"]
