@@ -40,7 +40,7 @@ LEXICON_WORDS = 1 << 15
 LEXICON_LEAST = 8
 LEXICON_BYTES = 64
 #: Entries of a worker's memo.
-MEMO = 200_000
+MEMO = 600_000
 
 # Fixed value: the pre-tokenizer's pattern.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -160,9 +160,12 @@ class Vocabulary:
         vocab = m["vocab"]
         self.text = text
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
-        self.tokens: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if t not in self.special}
-        self.tokens.update({i: t.encode() for t, i in self.special.items()})
-        singles = {t: i for i, t in self.tokens.items() if len(t) == 1}
+        self.tokens: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for t, i in vocab.items():
+            self.tokens[i] = t.encode() if t in self.special else bytes(alphabet[c] for c in t)
+        for t, i in self.special.items():
+            self.tokens[i] = t.encode()
+        singles = {t: i for i, t in enumerate(self.tokens) if len(t) == 1}
         self.singles = [singles[bytes([b])] for b in range(256)]
         pairs = (p if isinstance(p, list) else p.split(" ") for p in m["merges"])
         #: left id << 20 | right id -> rank << 20 | merged id
