@@ -37,35 +37,37 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def block_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """part, block, n, keys, counts: for each block, partition and n, the n-grams of the block."""
+    """part, block, and the block's words and pairs of that partition with their counts, packed.  All columns of
+    docs go in, so that the exchange by block is the one that lm_scores reads too."""
     cuts = bounds(parts)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, block = [], int(pdf["__block"].iloc[0])
-        for n, grams in enumerate(_hashed(pdf["__text"]), 1):
+        block, cols = int(pdf["__block"].iloc[0]), []
+        for grams in _hashed(pdf["__text"]):
             keys, counts = np.unique(_joined(grams), return_counts=True)
             at = np.append(np.searchsorted(keys, cuts), len(keys))
-            rows += [(p, block, n, pack(keys[a:b]), squeeze(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["part", "block", "n", "keys", "counts"])
+            cols += [[pack(keys[a:b]) for a, b in zip(at, at[1:])], [squeeze(counts[a:b].astype("<u4")) for a, b in zip(at, at[1:])]]
+        rows = [(p, block, *r) for p, r in enumerate(zip(*cols)) if r[0] or r[2]]
+        return pd.DataFrame(rows, columns=["part", "block", "keys1", "counts1", "keys2", "counts2"])
 
-    return docs.select("__block", "__text").groupBy("__block").applyInPandas(run, "part int, block int, n int, keys binary, counts binary")
+    return docs.groupBy("__block").applyInPandas(run, "part int, block int, keys1 binary, counts1 binary, keys2 binary, counts2 binary")
 
 
 def summed(sent: DataFrame) -> DataFrame:
-    """block, part, n, counts (of all blocks, for the keys that the block sent)."""
+    """block, part, counts1, counts2: of all blocks, for the keys that the block sent."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, own in pdf.groupby("n"):
-            keys = [unpack(k) for k in own["keys"]]
+        out = {"block": pdf["block"], "part": pdf["part"]}
+        for n in (1, 2):
+            keys = [unpack(k) for k in pdf[f"keys{n}"]]
             every, at = np.unique(_joined(keys), return_inverse=True)
-            counts = np.concatenate([np.empty(0, "<u4"), *[expand(c, "<u4") for c in own["counts"]]])
+            counts = np.concatenate([np.empty(0, "<u4"), *[expand(c, "<u4") for c in pdf[f"counts{n}"]]])
             sums = np.bincount(at, weights=counts, minlength=len(every)).astype("<u8")
             ends = np.cumsum([0, *map(len, keys)])
-            out += [(b, int(own["part"].iloc[0]), int(n), squeeze(sums[at[x:y]])) for b, x, y in zip(own["block"], ends, ends[1:])]
-        return pd.DataFrame(out, columns=["block", "part", "n", "counts"])
+            out[f"counts{n}"] = [squeeze(sums[at[x:y]]) for x, y in zip(ends, ends[1:])]
+        return pd.DataFrame(out)
 
-    return sent.groupBy("part").applyInPandas(run, "block int, part int, n int, counts binary")
+    return sent.groupBy("part").applyInPandas(run, "block int, part int, counts1 binary, counts2 binary")
 
 
 def lm_scores(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), backoff: float = BACKOFF) -> DataFrame:
@@ -73,7 +75,7 @@ def lm_scores(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("do
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(*carry, F.col(text).alias("__text"))
-    d = d.withColumn("__block", F.pmod(F.xxhash64(*carry, "__text"), F.lit(parts * 4)).cast("int")).repartition(parts, "__block")
+    d = d.withColumn("__block", F.pmod(F.xxhash64(*carry, "__text"), F.lit(parts * 2)).cast("int")).repartition(parts, "__block")
     counted = summed(block_counts(d, parts))
     everything = float(docs.agg(F.sum(F.regexp_count(F.col(text), F.lit(WORD)))).first()[0] or 0)
 
@@ -82,9 +84,9 @@ def lm_scores(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("do
             return pd.DataFrame(columns=[*carry, "n_words", "n_backoff", "log_score"])
         words, pairs = _hashed(left["__text"])
         place, count = [], []
+        right = right.sort_values("part")
         for n, grams in enumerate((words, pairs), 1):
-            own = right[right["n"] == n].sort_values("part")
-            count.append(np.concatenate([np.empty(0, "<u8"), *[expand(c, "<u8") for c in own["counts"]]]).astype(float))
+            count.append(np.concatenate([np.empty(0, "<u8"), *[expand(c, "<u8") for c in right[f"counts{n}"]]]).astype(float))
             place.append(np.unique(_joined(grams), return_inverse=True)[1])
         n_words, n_backoff, scores = [], [], []
         a = b = 0
