@@ -279,9 +279,9 @@ def stage_parallelism(spark, sf_dir):
     return b.agg(F.count_distinct("p").alias("first"), F.count_distinct("q").alias("second"), F.count(F.lit(1)).alias("n"))
 
 
-@query("gather_single", f"WITH {E} SELECT 1::BIGINT AS partitions, count(*)::BIGINT AS n FROM e WHERE value > 450")
+@query("gather_single", f"WITH {E} SELECT 1::BIGINT AS partitions, count(*)::BIGINT AS n FROM e WHERE value > 20")
 def gather_single(spark, sf_dir):
-    d = events(spark, sf_dir).filter("value > 450").gather().df.withColumn("p", F.spark_partition_id())
+    d = events(spark, sf_dir).filter("value > 20").gather().df.withColumn("p", F.spark_partition_id())
     return d.agg(F.count_distinct("p").alias("partitions"), F.count(F.lit(1)).alias("n"))
 
 
