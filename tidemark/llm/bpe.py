@@ -33,7 +33,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
+from .memos import keeps, serve
 
 #: Most words in the automaton, and the least count of a word to be compiled.  Bounds what is sent to workers.
 LEXICON_WORDS = 1 << 15
@@ -262,10 +263,12 @@ class Encoder:
 
 
 _ready: dict = {}
+keeps("bpe", _ready.clear)
 
 
 def _encoder(name: str, sent) -> Encoder:
     """This worker's encoder for a broadcast (vocabulary file, automaton); its memo outlives a task."""
+    serve("bpe")
     if _ready.get("name") != name:
         _ready.update(name=name, encoder=Encoder(Vocabulary(sent.value[0]), sent.value[1]))
     return _ready["encoder"]
@@ -291,8 +294,19 @@ def piece_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", words: int = LEXICON_WORDS, least: int = LEXICON_LEAST) -> bytes:
-    """The automaton of the most frequent words of docs, at most `words` of them (ties by the word)."""
-    top = piece_counts(docs, text).where(F.col("n") >= least).orderBy(F.col("n").desc(), "piece").limit(words).select("piece").collect()
+    """The automaton of the most frequent words of docs, at most `words` of them.
+
+    A histogram of the counts' logarithms says from which count on there are no more than that; only those words
+    are sent to the driver.
+    """
+    counts = written(piece_counts(docs, text).where(F.col("n") >= least).withColumn("grade", F.floor(F.log2("n") * 32).cast("int")), "bpe-counts")
+    total, grade = 0, None
+    for g, n in sorted(((r["grade"], r["count"]) for r in counts.groupBy("grade").count().collect()), reverse=True):  # some hundred grades
+        total += n
+        if total > words:
+            break
+        grade = g
+    top = counts.where(F.col("grade") >= grade).select("piece").collect() if grade is not None else []
     e = Encoder(vocabulary)
     found = sorted({r[0].encode(): r[0] for r in top}.items())
     return compile_lexicon([(w, vocabulary.merge(w)) for w, p in found if len(e.pieces(p)) == 1])
