@@ -20,12 +20,22 @@ from tidemark.llm import bpe, jaccard_join, mixing, suffix_dedup, toxicity
 from tidemark.llm.common import SPACES, table, written
 
 
+#: Documents that are sent to Python at a time; the stages share workers with little memory.
+BATCH = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     c = written(jaccard_join.jaccard_components(docs).select("doc_id", "component_id").where("doc_id is not null"), "pipeline-components")
     stay = c.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(stay, docs["doc_id"] == stay["__id"], "left_semi")
@@ -35,6 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     blank = lambda: F.length(F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES))) == 0
     cut = suffix_dedup.remove_passages(docs.withColumn("__blank", blank()).withColumn("__chars", F.length("text")))
     left = cut.where(F.col("__blank") | ~blank())
@@ -48,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return bpe.encode(docs, bpe.default_path(), keys=("doc_id",), digest=True)
 
 

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, table, written
-from .words import bounds, expand, mixed, pack, runs, squeeze, unpack, word_hashes
+from .memos import serve
+from .words import bounds, expand, mixed, pack, powers, runs, squeeze, unpack, word_hashes
 
 MIN_WORDS, SEED = 50, 25
 #: A worker sends what it has gathered when it holds so many places, or documents.
@@ -35,27 +36,13 @@ FLUSH_PLACES, FLUSH_DOCS = 2_000_000, 60_000
 NO_ID = 2**63 - 1
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 4096)
-        for j, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, _U)
-            p[0] = 1
-            _powers[j] = np.cumprod(p, dtype=_U)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each stretch of n words, the same wherever the stretch is."""
     if len(h) < n:
         return np.empty(0, _U)
-    up, down = _power(len(h))
+    up, down = powers(len(h))
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(h * up, dtype=_U)])
     return mixed((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
 
@@ -194,6 +181,7 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     d = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), row_key(doc, text).alias("row"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("suffix")
         s = _Sender(parts)
         for b in batches:
             for i, t, r in zip(*b.columns):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .memos import keeps, serve
 
 BITS = 20
 #: Letters that are left of a cut word.
@@ -34,7 +35,7 @@ TRAIN_ROWS = 8_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 12.0, 0.1
 TOKEN = re.compile(r"[^\W_]+")
-_MEMO = 300_000
+_MEMO = 200_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -46,12 +47,13 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+keeps("toxicity", _hashes.clear)
 
 
 def features(text: str | None) -> np.ndarray:
     """Distinct places of a text's features, sorted."""
     if not text:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     if len(_hashes) > _MEMO:
         _hashes.clear()
     words = TOKEN.findall(text.lower())
@@ -62,7 +64,7 @@ def features(text: str | None) -> np.ndarray:
             parts.append((h[:-gap] * _C[0] + h[gap:] * _C[1]) ^ _C[gap])
     with np.errstate(over="ignore"):
         x = np.concatenate(parts) * _C[2]
-    return np.unique((x >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.unique((x >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -102,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     d = docs.select(F.col(doc).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(ids), "__id").dropDuplicates(["__id"])  # at most `rows` ids
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        serve("toxicity")
         d = pd.concat([*parts, pd.DataFrame({"__id": [], "__y": [], "__t": []})]).sort_values("__id")
         at, w, b = train(d["__t"].tolist(), d["__y"].astype(int).tolist())
         yield pd.DataFrame({"at": [*at, -1], "w": [*w, b]})
@@ -117,6 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        serve("toxicity")
         at, w, b = sent.value
         dense = np.zeros(1 << BITS)
         dense[at] = w
