@@ -8,8 +8,8 @@ agree in at least one part that is not empty, and meet there.  Sets near a borde
 of up to TINY shingles use each shingle as a part of its own.
 
 Those that meet in a part make a run.  Every member is first held against the run's first member; what links is
-joined into components.  Then only runs that still hold several components are looked at again, first for each
-member's nearest others, then for all pairs across components; a 512-bit parity sketch, whose Hamming distance
+joined into components.  Then only runs that still hold several components are looked at again, twice for each
+member's nearest set of another component and then for all pairs across components; a parity sketch of bits, whose Hamming distance
 is at most the symmetric difference, rules most of them out before the sets are compared.  So a group of
 thousands of near copies costs a few comparisons per member, and no link is lost.
 
@@ -34,20 +34,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import batches_of, forget, release, table, written
 from .graph import components
+from .memos import serve
 from .words import bounds, mixed, pack, runs, shingle_set, unpack
 
 TINY, RATIO = 40, 1.78
-SKETCH_BITS = 512
+SKETCH_BITS = 256
 #: A worker sends what it has gathered when it holds so many parts, or documents.
 FLUSH_PARTS, FLUSH_DOCS = 3_000_000, 60_000
-#: Rows of a run that are compared at a time.
-BLOCK = 512
+#: Pairs of sketches that are compared at a time; documents, or pairs of sets, that are sent to Python at a time.
+BLOCK, BATCH = 200_000, 500
 
 _U = np.uint64
+_CONTENT = _U((1 << 44) - 1)
 EDGES = [TINY]
-while EDGES[-1] < 1 << 40:
+while EDGES[-1] < 2_500_000:  # as many shingles as parts can be numbered for with 20 bits
     EDGES.append(math.floor(EDGES[-1] * RATIO))
 
 
@@ -65,29 +67,41 @@ def signatures(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:  # two different sets need at least 3 and 4 shingles
         return np.empty(0, _U)
-    band = next(j for j, e in enumerate(EDGES) if n <= e)
+    band = next((j for j, e in enumerate(EDGES) if n <= e), len(EDGES) - 1)
     out = []
     for j in (band, band - 1) if band and math.ceil(0.75 * n) <= EDGES[band - 1] else (band,):
         if j == 0:
             out.append(mixed(s + _U(1)))
             continue
-        part = (s >> _U(11)) % _U(parts_of_band(j))
-        order = np.argsort(part)
-        part = part[order]
+        # one sort deals and orders: the part's number above, 44 bits of the shingle below
+        x = np.sort(((s >> _U(44)) % _U(parts_of_band(j))) << _U(44) | (s & _CONTENT))
+        part = x >> _U(44)
         starts = runs(part)[:-1]
-        content = np.bitwise_xor.reduceat(s[order], starts)
+        content = np.bitwise_xor.reduceat(x & _CONTENT, starts)
         out.append(mixed(content + mixed(part[starts] * _U(64) + _U(j))))
     return np.concatenate(out)
 
 
-def bit_sketch(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def bit_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles by their low bits, as 64-bit words: a power of two of bits, SKETCH_BITS at
+    least and as many as the set has shingles."""
+    bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(k: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (in the last axis) as they are with fewer bits."""
+    while k.shape[-1] > words:
+        half = k.shape[-1] // 2
+        k = k[..., :half] ^ k[..., half:]
+    return k
 
 
 def named_sets(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """doc_id, n_shingles, s (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("jaccard")
         for b in batches:
             n, names = [], []
             for t in b.column(1):
@@ -106,19 +120,25 @@ def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
     cuts = bounds(parts) >> _U(64 - bits)
 
     def flushed(keys: list, own: list, names: list) -> pa.RecordBatch:
-        k, d = np.concatenate(keys) >> _U(64 - bits), np.repeat(np.arange(len(own), dtype=np.uint16), own)
-        order = np.argsort(k, kind="stable")
-        k, d, names = k[order], d[order], np.array(names, np.int64)
+        k, d, names = np.concatenate(keys) >> _U(64 - bits), np.repeat(np.arange(len(own), dtype=_U), own), np.array(names, np.int64)
+        if bits <= 48:  # one sort of both
+            x = np.sort(k << _U(16) | d)
+            k, d = x >> _U(16), (x & _U(0xFFFF)).astype(np.int64)
+        else:
+            order = np.argsort(k, kind="stable")
+            k, d = k[order], d[order].astype(np.int64)
         at = np.append(np.searchsorted(k, cuts), len(k))
-        rows = []
+        rows, short = [], np.zeros(len(own), "<u2")
         for p, (a, b) in enumerate(zip(at, at[1:])):
             if b > a:
-                used, short = np.unique(d[a:b], return_inverse=True)
-                rows.append((p, pack(k[a:b]), short.astype("<u2").tobytes(), names[used].astype("<i8").tobytes()))
+                used = np.flatnonzero(np.bincount(d[a:b], minlength=len(own)))
+                short[used] = np.arange(len(used))
+                rows.append((p, pack(k[a:b]), short[d[a:b]].tobytes(), names[used].astype("<i8").tobytes()))
         cols = list(zip(*rows)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "sets", "names"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("jaccard")
         keys, own, names, total, known = [], [], [], 0, set()
         for b in batches:
             for t in b.column(0):
@@ -140,6 +160,11 @@ def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([unpack(k) for k in pdf["keys"]])
         s = np.concatenate([np.frombuffer(n, "<i8")[np.frombuffer(i, "<u2")] for i, n in zip(pdf["sets"], pdf["names"])])
+        order = np.argsort(keys)
+        keys, s = keys[order], s[order]
+        n = np.diff(runs(keys))
+        many = np.repeat(n, n) > 1  # most parts are met by one set only
+        keys, s = keys[many], s[many]
         order = np.lexsort((s, keys))
         keys, s = keys[order], s[order]
         fresh = np.ones(len(keys), bool)
@@ -165,7 +190,7 @@ def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, tex
             for t, want in zip(b.column(0), b.column(1)):
                 s = shingle_set(t.as_py())
                 if len(s) and set_name(s) == want.as_py():
-                    rows.append((want.as_py(), len(s), pack(s >> _U(16)), bit_sketch(s)))
+                    rows.append((want.as_py(), len(s), pack(s >> _U(16)), bit_sketch(s).tobytes()))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["s", "n", "shingles", "sketch"])
 
@@ -189,55 +214,124 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(F.pandas_udf(run, "boolean")("sa", "sb")).select("a", "b")
 
 
-def across(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """a, b: pairs of sets of a run (run, s, n, sketch, label) with different labels that the sketches and sizes
-    allow to link; nearest: only so many for each set outside the run's largest component."""
+def fitting(k: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs i, j sizes and sketches allow to link, and the sketches' distance by the sizes' sum.
+
+    |A xor B| = a + b - 2 * both, and linked sets have both >= percent / (100 + percent) * (a + b).
+    """
+    total = n[i] + n[j]
+    fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    near = np.full(len(i), 2.0)
+    words = np.array([len(x) for x in k])
+    w = np.minimum(words[i], words[j])
+    for size in np.unique(w[fits]):
+        at = np.flatnonzero(fits & (w == size))
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        m = np.array([folded(k[u], size) for u in used])
+        x, y = place[: len(at)], place[len(at) :]
+        step = max(1, BLOCK * 8 // int(size))
+        for a in range(0, len(at), step):
+            far = np.bitwise_count(m[x[a : a + step]] ^ m[y[a : a + step]]).sum(axis=1, dtype=np.int64)
+            own = at[a : a + step]
+            fits[own] = far * (100 + percent) <= total[own] * (100 - percent)
+            near[own] = far / total[own]
+    return fits, near
+
+
+def _sketches(col) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u8") for b in col]
+
+
+def promising(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The rows a, b of pairs that sizes and sketches allow to link."""
+    x = facts.select(F.col("s").alias("a"), F.struct("n", "sketch").alias("fa"))
+    y = facts.select(F.col("s").alias("b"), F.struct("n", "sketch").alias("fb"))
+
+    def run(parts: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for left, right in parts:
+            k, at = _sketches([*left["sketch"], *right["sketch"]]), np.arange(len(left))
+            yield pd.Series(fitting(k, np.concatenate([left["n"], right["n"]]).astype(np.int64), at, at + len(left), percent)[0], dtype=bool)
+
+    return pairs.join(x, "a").join(y, "b").where(F.pandas_udf(run, "boolean")("fa", "fb")).select("a", "b")
+
+
+def across(members: DataFrame, percent: int, parts: int, nearest: int | None) -> DataFrame:
+    """a, b: all pairs of sets of a run (run, s, n, sketch, label) that have different labels and that sizes and
+    sketches allow to link; nearest: of them, each set's so many nearest by sketch.  Runs are dealt to tasks by
+    hash, many to a group, and compared by distance in the run."""
+
+    def pairs_of(run: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs with different labels within runs (sorted), a block at a time."""
+        left, gap, held, size = np.arange(len(run)), 0, [], 0
+        while len(left):
+            gap += 1
+            left = left[left + gap < len(run)]
+            left = left[run[left] == run[left + gap]]
+            own = left[label[left] != label[left + gap]]
+            held.append((own, own + gap))
+            size += len(own)
+            if size > BLOCK or not len(left):
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, n, label = pdf["s"].to_numpy(), pdf["n"].to_numpy(), pdf["label"].to_numpy()
-        k = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)
-        values, counts = np.unique(label, return_counts=True)
-        rest = np.flatnonzero(label != values[counts.argmax()])
-        found = []
-        for at in range(0, len(rest), BLOCK):
-            i = rest[at : at + BLOCK]
-            far = sum(np.bitwise_count(k[i, w][:, None] ^ k[None, :, w]).astype(np.int32) for w in range(k.shape[1]))
-            total = n[i][:, None] + n[None, :]
-            # |A xor B| = a + b - 2 * both, and both >= percent / (100 + percent) * (a + b)
-            fits = (label[i][:, None] != label[None, :]) & (far * (100 + percent) <= total * (100 - percent))
-            fits &= 100 * np.minimum(n[i][:, None], n[None, :]) >= percent * np.maximum(n[i][:, None], n[None, :])
-            if nearest and fits.shape[1] > nearest:
-                rank = np.where(fits, far / total, 2.0)
-                best = np.argpartition(rank, nearest, axis=1)[:, :nearest]
-                keep = np.zeros_like(fits)
-                np.put_along_axis(keep, best, True, axis=1)
-                fits &= keep
-            x, y = np.nonzero(fits)
-            found.append(np.stack([s[i[x]], s[y]], 1))
-        p = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        p = np.unique(np.sort(p, axis=1), axis=0)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
-
-    return members.groupBy("run").applyInPandas(run, "a long, b long").distinct()
+        pdf = pdf.sort_values(["run", "label"], ignore_index=True)
+        s, n, k = pdf["s"].to_numpy(), pdf["n"].to_numpy(), _sketches(pdf["sketch"])
+        label = pdf["label"].to_numpy()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for i, j in pairs_of(pdf["run"].to_numpy(), label):
+            fits, near = fitting(k, n, i, j, percent)
+            i, j, near = i[fits], j[fits], near[fits]
+            if nearest:  # of this block; the block's best are the candidates for the group's best
+                one, two, far = np.concatenate([s[i], s[j]]), np.concatenate([s[j], s[i]]), np.concatenate([near, near])
+                order = np.lexsort((two, far, one))
+                one, two = one[order], two[order]
+                fresh = np.ones(len(one), bool)
+                fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                one, two = one[fresh], two[fresh]
+                starts = runs(one)
+                place = np.arange(len(one)) - np.repeat(starts[:-1], np.diff(starts))
+                found.append((one[place < nearest], two[place < nearest]))
+            else:
+                found.append((s[i], s[j]))
+            p = np.unique(np.sort(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=1), axis=0)
+            found = [(p[:, 0], p[:, 1])]
+        return pd.DataFrame({"a": found[0][0], "b": found[0][1]})
+
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts * 8)).cast("int"))
+    return dealt.groupBy("part").applyInPandas(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _components(docs, doc, text, percent)
+
+
+def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame:
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = written(named_sets(docs, doc, text), "jaccard-base")
     runs_ = written(sketch_runs(docs, text), "jaccard-runs")
+    release(spark)
     sets = written(set_table(docs, base, runs_.select("s").distinct(), doc, text), "jaccard-sets")
-    tried = written(runs_.where("s != lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b")).distinct(), "jaccard-tried")
-    links = written(linked(tried, sets, percent), "jaccard-links")
+    release(spark)
     facts = sets.select("s", "n", "sketch")
-    for nearest in (3, None):
+    tried = runs_.where("s != lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b")).distinct()
+    tried = written(promising(tried, facts, percent), "jaccard-tried")
+    links = written(linked(tried, sets, percent), "jaccard-links")
+    for nearest in (1, 1, None):  # near copies grow together first; then every pair that is left
         labels = components(links)
         labelled = runs_.select("run", "s").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("run", "s", F.coalesce("label", "s").alias("label"))
         labelled = written(labelled, "jaccard-labelled")
+        release(spark)
         open_runs = labelled.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("run")
         members = labelled.join(open_runs, "run", "left_semi").join(facts, "s")
-        new = written(across(members, percent, nearest).join(tried, ["a", "b"], "left_anti"), "jaccard-new")
-        links = written(links.union(linked(new, sets, percent)), "jaccard-links")
+        new = written(across(members, percent, parts, nearest).join(tried, ["a", "b"], "left_anti"), "jaccard-new")
+        forget(spark, labelled)
+        release(spark)
         tried = tried.union(new)
+        links = written(links.union(linked(new, sets, percent)), "jaccard-links")
     labels = components(links)
     classes = base.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"))
     classes = classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))

@@ -9,27 +9,56 @@ import zstandard
 _U = np.uint64
 #: Odd constants for sums of hashes.
 _ODD = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_MEMO = 250_000
+#: Words longer than this are hashed one by one.
+_LONG = 64
+_BASE = 0xD1342543DE82EF95
 
+#: True for the bytes \x20 and \x09-\x0D.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random 64-bit number for each byte.
+_BYTES = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([c])) for c in range(256)), ">u8").astype(_U)
+_powers = [np.ones(1, _U), np.ones(1, _U)]
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-_hashes = _Hashes()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(2 * n, 1 << 16)
+        for j, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, _U)
+            p[0] = 1
+            _powers[j] = np.cumprod(p, dtype=_U)
+    return _powers[0][:n], _powers[1][:n]
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash for each word [^\\x20\\x09-\\x0D]+ of a whole text; lower: A-Z as a-z."""
+    """A 64-bit hash for each word [^\\x20\\x09-\\x0D]+ of a whole text; lower: A-Z as a-z.
+
+    All words at once: a word is the difference of two sums of its bytes' numbers times powers of a base.
+    """
     if not text:
         return np.empty(0, _U)
     b = text.encode("utf-8", "surrogatepass")
-    words = (b.lower() if lower else b).split()  # bytes.lower and bytes.split know ASCII only
-    if len(_hashes) > _MEMO:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
+    a = np.frombuffer(b.lower() if lower else b, np.uint8)  # bytes.lower knows ASCII only
+    edge = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, _U)
+    up, down = powers(len(a))
+    sums = np.empty(len(a) + 1, _U)
+    sums[0] = 0
+    np.cumsum(_BYTES[a] * up, out=sums[1:])
+    h = mixed((sums[stop] - sums[start]) * down[start])
+    for k in np.flatnonzero(stop - start > _LONG):
+        h[k] = xxhash.xxh3_64_intdigest(a[start[k] : stop[k]].tobytes())
+    return h
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted and each once; sorting is faster here than numpy's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,7 +74,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, _U)
     out = h[: len(h) - n + 1] * _ODD[0]
     for k in range(1, n):
-        out = mixed(out) + h[k : len(h) - n + 1 + k] * _ODD[k % 5]
+        out = out + h[k : len(h) - n + 1 + k] * (_ODD[k % 5] + _U(2 * (k // 5)))
     return mixed(out)
 
 
@@ -54,7 +83,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     h = word_hashes(text, lower=True)
     if 0 < len(h) < n:
         return ngrams(h, len(h)) ^ _U(len(h))
-    return np.unique(ngrams(h, n))
+    return distinct(ngrams(h, n))
 
 
 # ---- blocks: sorted 64-bit keys as deltas by byte plane -------------------------------------------------
