@@ -45,6 +45,9 @@ SKETCH_BITS = 256
 FLUSH_PARTS, FLUSH_DOCS = 3_000_000, 60_000
 #: Pairs of sketches that are compared at a time; documents, or pairs of sets, that are sent to Python at a time.
 BLOCK, BATCH = 200_000, 500
+#: Near copies share many runs, so one run in so many is enough to find a set's nearest; all pairs are looked for in
+#: all runs.
+NEAREST_SHARE = 8
 
 _U = np.uint64
 _CONTENT = _U((1 << 44) - 1)
@@ -296,10 +299,21 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
                 found.append((s[i], s[j]))
             p = np.unique(np.sort(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=1), axis=0)
             found = [(p[:, 0], p[:, 1])]
-        return pd.DataFrame({"a": found[0][0], "b": found[0][1]})
+        a, b = found[0]
+        to = (a.astype(_U) % _U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        a, b, to = a[order], b[order], to[order]
+        r = runs(to)
+        return pd.DataFrame([(int(to[x]), a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip(r, r[1:])], columns=["part", "a", "b"])
 
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts * 8)).cast("int"))
-    return dealt.groupBy("part").applyInPandas(run, "a long, b long").distinct()
+    def once(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.stack([np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("a", "b")], 1)
+        p = np.unique(p, axis=0)
+        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
+
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)).cast("int"))
+    packed = dealt.groupBy("part").applyInPandas(run, "part int, a binary, b binary")  # pairs meet in many runs
+    return packed.groupBy("part").applyInPandas(once, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -325,8 +339,9 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
         labelled = runs_.select("run", "s").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("run", "s", F.coalesce("label", "s").alias("label"))
         labelled = written(labelled, "jaccard-labelled")
         release(spark)
-        open_runs = labelled.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("run")
-        members = labelled.join(open_runs, "run", "left_semi").join(facts, "s")
+        some = labelled.where(F.pmod(F.xxhash64("run", F.lit(7)), F.lit(NEAREST_SHARE)) == 0) if nearest else labelled
+        open_runs = some.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("run")
+        members = some.join(open_runs, "run", "left_semi").join(facts, "s")
         new = written(across(members, percent, parts, nearest).join(tried, ["a", "b"], "left_anti"), "jaccard-new")
         forget(spark, labelled)
         release(spark)
