@@ -51,3 +51,16 @@ def test_levels_of_all_edges(spark, sf_dir, adjacent):
         dist |= {w: dist[at[0]] + 1 for w in new}
         at = new
     assert rows(QUERIES["bfs_levels_whole"](spark, sf_dir), "node", "dist") == sorted(dist.items())
+
+
+def test_two_hops_of_all_edges(spark, sf_dir, adjacent):
+    after = [np.flatnonzero(r).tolist() for r in adjacent]
+    assert rows(QUERIES["two_hop_paths_whole"](spark, sf_dir), "a", "b", "c") == [(a, b, c) for a in range(1000) for b in after[a] for c in after[b]]
+
+
+def test_paths_of_all_edges(spark, sf_dir, adjacent):
+    two = adjacent @ adjacent
+    want = {(int(a), int(b), hops): int(m[a, b]) for hops, m in enumerate((adjacent, two, two @ adjacent), 1) for a, b in np.argwhere(m)}
+    got = QUERIES["recursive_paths_whole"](spark, sf_dir).toPandas()
+    assert len(got) == len(want)
+    assert dict(zip(zip(got["src"], got["dst"], got["hops"]), got["n"])) == want

@@ -84,6 +84,20 @@ def recursive_paths(spark, sf_dir):
 _V = 1000
 
 
+@query("recursive_paths_whole")
+def recursive_paths_whole(spark, sf_dir):
+    """Paths of up to three of all edges; recursive_paths is held to its SQL, which takes few vertices.  Paths are
+    summed by their ends in each round, so they are counted, not listed."""
+    d = iterate.checkpoint(edges(spark, sf_dir, _V).distinct())
+    now = d.withColumn("n", F.lit(1).cast("long"))
+    out = now.withColumn("hops", F.lit(1).cast("long"))
+    step = d.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    for hops in (2, 3):
+        now = iterate.checkpoint(now.join(step, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.sum("n").alias("n")))
+        out = out.unionByName(now.withColumn("hops", F.lit(hops).cast("long")))
+    return out.select("src", "dst", "hops", "n")
+
+
 @query("bfs_levels", f"WITH RECURSIVE {edges_sql(_V)}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)), f AS (SELECT src, dst FROM u WHERE (src + dst) % 13 = 0), b AS (SELECT 0::BIGINT AS node, 0::BIGINT AS dist UNION SELECT f.dst, dist + 1 FROM b JOIN f ON b.node = f.src WHERE dist < 60) SELECT node, min(dist) AS dist FROM b GROUP BY 1")
 def bfs_levels(spark, sf_dir):
     e = edges(spark, sf_dir, _V).where("(src + dst) % 13 = 0")
