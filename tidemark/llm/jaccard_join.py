@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, forget, release, table, written
 from .graph import components
 from .memos import serve
+from .suffix_dedup import row_key
 from .words import bounds, mixed, pack, runs, shingle_set, unpack
 
 TINY, RATIO = 40, 1.78
@@ -101,7 +102,7 @@ def folded(k: np.ndarray, words: int) -> np.ndarray:
 
 
 def named_sets(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, s (null for an empty set)."""
+    """doc_id, row (row_key of the document), n_shingles, s (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("jaccard")
@@ -111,9 +112,9 @@ def named_sets(docs: DataFrame, doc: str, text: str) -> DataFrame:
                 s = shingle_set(t.as_py())
                 n.append(len(s))
                 names.append(set_name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n_shingles", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "row", "n_shingles", "s"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, s long")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc, text).alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, s long")
 
 
 def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
@@ -183,16 +184,21 @@ def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
-    """s, n, shingles (packed, the upper 48 bits), sketch for the sets in wanted (s), each once."""
-    ids = base.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    own = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
+    """s, n, shingles (packed, the upper 48 bits), sketch for the sets in wanted (s), each once a task.  A text is
+    found by its row_key, so sets that only rows without an id hold are found as well."""
+    ids = base.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("row").alias("row"))
+    own = docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text")).join(ids, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set()  # rows of one key are repeated rows
         for b in batches:
             rows = []
             for t, want in zip(b.column(0), b.column(1)):
+                if want.as_py() in known:
+                    continue
                 s = shingle_set(t.as_py())
                 if len(s) and set_name(s) == want.as_py():
+                    known.add(want.as_py())
                     rows.append((want.as_py(), len(s), pack(s >> _U(16)), bit_sketch(s).tobytes()))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["s", "n", "shingles", "sketch"])
