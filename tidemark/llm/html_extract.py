@@ -1,12 +1,14 @@
 """Main text of web pages by deduction of templates from equivalence classes.
 
-A page is a sequence of tokens: tags with the path of elements that they stand in, and short texts.  A token's
+A page is a sequence of tokens: tags and blocks of text, with the path of elements that they stand in.  A token's
 occurrence vector tells how often it occurs in each page of a host; tokens with the same vector form an
 equivalence class.  The vector is carried as its sum and the XOR of a hash of (page, count), so it is gathered
 by partial sums and no host's pages ever meet in one task.  Classes that occur in most of a host's pages are
-valid; those that occur once a page make the root of the template, the others are nested in its slots by their
-paths.  What lies between template tokens are slots.  The root elements that are not page furniture and hold the
-article, or else most of the pages' text, are the content; the slots in them are the main text.
+valid and make the template; those that occur once a page are its root.  The root elements that are not page
+furniture and hold the article, or else most of the pages' text, are the content.  What lies between template
+tokens are slots: blocks of text in the content that are template tokens themselves, such as a notice in every
+article, go, and the rest is the main text.  A block needs SUPPORT pages for that, as a few pages can share a
+sentence; a page whose content is template text throughout, as a copy among copies, keeps it.
 
 Hosts of a single page, and pages without the host's content element, are read by the same rules with the page
 as its own template.
@@ -32,7 +34,9 @@ from .common import join_small, table, written
 
 #: A class is valid if it occurs in this share of a host's pages, and in two pages.
 VALID_SHARE = 0.5
-#: Texts of up to so many characters are tokens.
+#: A block of text is of the template only if it occurs in so many of the host's pages.
+SUPPORT = 5
+#: Longer texts are tokens by their hash.
 TEXT_TOKEN = 40
 #: Without an article element: the innermost root element with this share of the host's text is the content.
 CONTENT_SHARE = 0.8
@@ -45,6 +49,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Elements whose end tags are often left out; they are not put on the path.
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "colgroup", "caption"}
+#: Which elements that are still open a start tag ends.
+ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), {"thead", "tbody", "tfoot", "caption", "colgroup", "tr", "td", "th", "p"})
 #: Words in class, id or role that mark page furniture.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies",
@@ -54,6 +60,8 @@ MARKS = {
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Marks that tell nothing of a table's cells or of a run of words.
+_PLAIN = {"header", "footer"}
 
 
 def host_of(url):
@@ -61,17 +69,36 @@ def host_of(url):
     return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _marks(attributes: str) -> dict[str, str]:
+    return {k.lower(): (a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+
+
+def _words(marks: dict[str, str]) -> set[str]:
+    return {w for v in marks.values() for w in _SPLIT.split(v)}
+
+
 def parse(page: str) -> Iterator[tuple[str, str, bool, object]]:
     """(kind, path, furniture, value) in page order.  kind: "open" or "close" of an element on the path (value:
     its name), "break" (a block's border), "text" (value: the raw text).  furniture: inside page furniture."""
     path: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, furniture
+    soft: list[tuple[str, int, bool]] = []  # open elements that are not on the path: name, depth, furniture
+
+    def leave(names: set[str], depth: int) -> None:
+        for k, (n, d, _) in enumerate(soft):
+            if d == depth and n in names:
+                del soft[k:]
+                break
+
+    def hidden() -> bool:
+        return path[-1][2] or bool(soft and soft[-1][2])
+
     at = 0
     raw: str | None = None
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            yield "text", path[-1][1], path[-1][2], page[at : m.start()]
+            yield "text", path[-1][1], hidden(), page[at : m.start()]
         at = m.end()
         if not m[2]:
             continue
@@ -80,6 +107,19 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, object]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if name in LOOSE or (name in INLINE and name not in VOID):
+            if m[1]:
+                last = next((k for k in range(len(soft) - 1, -1, -1) if soft[k][:2] == (name, len(path))), None)
+                if last is not None:
+                    del soft[last:]
+            else:
+                if name in LOOSE:
+                    leave(ENDS.get(name, {name}), len(path))
+                within = bool(soft and soft[-1][2])
+                code = name in INLINE and any(p[0] == "pre" for p in path)  # words of colour
+                bad = within or bool(m[3] and not code and (_words(_marks(m[3])) - _PLAIN) & MARKS)
+                if name in LOOSE or bad:
+                    soft.append((name, len(path), bad))
         if name in INLINE or name in RAW:
             continue
         if name in VOID or name in LOOSE:
@@ -91,38 +131,61 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, object]]:
                 for k in range(len(path) - 1, found - 1, -1):
                     yield "close", path[k][1], path[k][2], path[k][0]
                 del path[found:]
+                soft[:] = [x for x in soft if x[1] <= len(path)]
             else:
                 yield "break", path[-1][1], path[-1][2], name
             continue
-        marks = {k.lower(): (a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(m[3])}
-        words = {w for v in marks.values() for w in _SPLIT.split(v)}
+        leave({"p"}, len(path))
+        marks = _marks(m[3])
+        words = _words(marks)
         own = name + "".join(f".{k}={v}" for k, v in sorted(marks.items()))
         within = path[-1][1].split("/")
         inside = any(p.split(".")[0] in CONTENT for p in within)
-        bad = path[-1][2] or (name in FURNITURE and not (name == "header" and inside)) or (name not in CONTENT and name not in ("html", "body") and bool(words & MARKS) and not re.fullmatch("h[1-6]", name))
+        bad = hidden() or (name in FURNITURE and not (name == "header" and inside)) or (name not in CONTENT and name not in ("html", "body") and bool(words & MARKS) and not re.fullmatch("h[1-6]", name))
         path.append((name, f"{path[-1][1]}/{own}", bad))
         yield "open", path[-1][1], bad, name
         if m[3].endswith("/"):
             yield "close", path[-1][1], bad, name
             path.pop()
     if at < len(page):
-        yield "text", path[-1][1], path[-1][2], page[at:]
+        yield "text", path[-1][1], hidden(), page[at:]
+
+
+def blocks_of(events) -> Iterator[tuple[str, str]]:
+    """(path, text) of the blocks of text that are not furniture, with single spaces, in page order."""
+    block: list[str] = []
+    at = ""
+    for kind, path, bad, value in [*events, ("break", "", False, "")]:
+        if kind == "text":
+            if not bad:
+                at = path
+                block.append(value)
+        elif block:
+            if text := " ".join(_html.unescape("".join(block)).split()):
+                yield at, text
+            block = []
+
+
+def block_token(path: str, text: str) -> str:
+    return f"t{path}|{text}" if len(text) <= TEXT_TOKEN else f"h{path}|{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
 
 
 def occurrences(page: str | None) -> tuple[dict[str, int], dict[str, int]]:
     """How often each token occurs, and how much text that is not furniture each element holds itself."""
     count: dict[str, int] = {}
     mass: dict[str, int] = {}
-    for kind, path, bad, value in parse(page or ""):
+    events = list(parse(page or ""))
+    for kind, path, bad, value in events:
         if kind == "text":
             size = len(value.strip())
             if size and not bad:
                 mass[path] = mass.get(path, 0) + size
-            token = f"t{path}|{value.strip()}" if 0 < size <= TEXT_TOKEN else None
-        else:
-            token = {"open": "<", "close": ">", "break": "-"}[kind] + path + ("|" + value if kind == "break" else "")
-        if token:
-            count[token] = count.get(token, 0) + 1
+            continue
+        token = {"open": "<", "close": ">", "break": "-"}[kind] + path + ("|" + value if kind == "break" else "")
+        count[token] = count.get(token, 0) + 1
+    for path, text in blocks_of(events):
+        token = block_token(path, text)
+        count[token] = count.get(token, 0) + 1
     return count, mass
 
 
@@ -150,7 +213,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, share: float = VALID_SHARE) -> DataFrame:
-    """host, host_pages, content (paths of the content elements), template (tokens of valid classes)."""
+    """host, host_pages, content (paths of the content elements), template (blocks of text of valid classes)."""
     vectors = written(token_vectors(pages), "html-vectors")
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     valid = join_small(vectors, hosts, ["host"], "token").where((F.col("pages") >= 2) & (F.col("pages") >= share * F.col("host_pages")))
@@ -160,7 +223,7 @@ def templates(pages: DataFrame, share: float = VALID_SHARE) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pdf = pdf.assign(content=[content_paths(c) for c in pdf["classes"]], template=[[t["token"] for k in c for t in k["tokens"]] for c in pdf["classes"]])
+            pdf = pdf.assign(content=[content_paths(c) for c in pdf["classes"]], template=[[t["token"] for k in c if k["pages"] >= SUPPORT for t in k["tokens"] if t["token"][0] in "th"] for c in pdf["classes"]])
             yield pdf[["host", "host_pages", "content", "template"]]
 
     return hosts.mapInPandas(run, "host string, host_pages long, content array<string>, template array<string>")
@@ -190,8 +253,8 @@ def _content(root: set[str], mass: dict[str, int]) -> list[str]:
     return [max(full, key=lambda p: (p.count("/"), p))] if full else []
 
 
-def main_text(page: str | None, content: list[str] | None) -> str:
-    """The text of a page's content elements, block by block."""
+def main_text(page: str | None, content: list[str] | None, template: list[str] | None = None) -> str:
+    """The text of a page's content elements, block by block, without the template's blocks."""
     if not page:
         return ""
     events = list(parse(page))
@@ -204,37 +267,25 @@ def main_text(page: str | None, content: list[str] | None) -> str:
                 mass[p] = mass.get(p, 0) + len(value.strip())
         wanted = _content({p for p in own}, mass) or ["/html/body", ""]
         wanted = [next((p for p in wanted if p in own or not p), "")] if wanted == ["/html/body", ""] else wanted
-    blocks: list[str] = []
-    block: list[str] = []
-    inside: dict[str, bool] = {}
-    for kind, path, bad, value in events:
-        if kind == "text":
-            if bad:
-                continue
-            if path not in inside:
-                inside[path] = any(path == w or path.startswith(w + "/") or not w for w in wanted)
-            if inside[path]:
-                block.append(value)
-        elif block:
-            blocks.append("".join(block))
-            block = []
-    blocks.append("".join(block))
-    clean = (" ".join(_html.unescape(b).split()) for b in blocks)
-    return "\n".join(b for b in clean if b)
+    inside = {p: any(p == w or p.startswith(w + "/") or not w for w in wanted) for p in {p for _, p, _, _ in events}}
+    blocks = [(p, t) for p, t in blocks_of(events) if inside[p]]
+    known = set(template or ())
+    own_text = [t for p, t in blocks if block_token(p, t) not in known] if known else []
+    return "\n".join(own_text or [t for _, t in blocks])
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", share: float = VALID_SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
     d = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    known = written(templates(d, share).select("host", "content"), "html-templates")
+    known = written(templates(d, share).select("host", "content", "template"), "html-templates")
     kind = pages.schema[page].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h.as_py(), c.as_py()) for h, c in zip(b.column(2), b.column(3))]
+            texts = [main_text(h.as_py(), c.as_py(), t.as_py()) for h, c, t in zip(b.column(2), b.column(3), b.column(4))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return join_small(d, known, ["host"], "page").select("page", "url", "html", "content").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return join_small(d, known, ["host"], "page").select("page", "url", "html", "content", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
