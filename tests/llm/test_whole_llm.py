@@ -1,6 +1,9 @@
 """Cases that the operators once left out."""
 
+import pytest
+
 from tests.llm.test_llm import docs  # noqa: F401
+from tidemark.errors import ConfigError
 from tidemark.llm import html_extract, jaccard_join
 
 
@@ -15,6 +18,11 @@ def test_rows_without_id_link_near_copies(docs):  # noqa: F811
     assert got == [(0, 55, 0), (0, 55, 20), (0, 56, 0), (0, 56, 5), (0, 56, 5), (5, 48, 5), (9, 48, 5), (20, 56, 20)]
 
 
+def test_no_links_of_less_than_75_percent(docs):  # noqa: F811
+    with pytest.raises(ConfigError):
+        jaccard_join.jaccard_components(docs([(1, "a", "s")]), percent=74)
+
+
 # ---- 6 pages ------------------------------------------------------------------------------------------
 
 

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from .common import batches_of, forget, release, table, written
 from .graph import components
 from .memos import serve
@@ -323,7 +324,9 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+    """doc_id, n_shingles, component_id for every row of docs.  Parts and bands hold for 75 percent and more."""
+    if percent < 75:
+        raise ConfigError("links of less than 75 percent can be lost")
     with batches_of(docs.sparkSession, BATCH):
         return _components(docs, doc, text, percent)
 
