@@ -9,7 +9,8 @@ The place where a source stops is found by descending a histogram of the order,
 level sums words by (source, bin) before it shuffles, so a source of any size is spread over all tasks.
 
 Defined results: null texts have size 0; a null source is a source of its own, sorted last; rows that share
-source and doc_id share their place in the order and are taken or left together; an empty table gives an
+source and doc_id (null ids, too) share their place in the order and are taken or left together, so a source can
+miss its target by up to half of their words; an empty table gives an
 empty result; a corpus without words has targets of 0.
 """
 
