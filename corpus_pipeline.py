@@ -5,7 +5,7 @@ near copies   of each group of near copies the document of least id stays (rows
               rows without an id stay, as none of them can be named
 passages      passages that repeat are cut but for their first occurrence; documents left empty go
 mixing        documents are taken as often as the mix of sources says
-encoding      token ids of what is left
+encoding      token ids of what is left: token_ids() returns the ids, run() (the query) their number and digests
 
 Every stage but the last returns the columns of documents; n_chars follows the text.  Null and empty texts are
 clean documents to the first three stages; the mix takes them as it takes others of their source.
@@ -63,6 +63,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.default_path(), keys=("doc_id",), digest=True)
 
 
+def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids."""
+    _small_batches(spark)
+    return bpe.encode(docs, bpe.default_path(), keys=("doc_id",))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near copies", drop_near_copies),
@@ -75,8 +81,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages but the last leave."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, _left(spark, sf_dir), sf_dir)
+
+
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training data: doc_id, ids."""
+    return encode_ids(spark, _left(spark, sf_dir), sf_dir)

@@ -1,7 +1,11 @@
 """Cases that the operators once left out."""
 
+import hashlib
+
+import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.test_llm import docs  # noqa: F401
 from tidemark.errors import ConfigError
 from tidemark.llm import html_extract, jaccard_join
@@ -43,3 +47,14 @@ def test_marks_of_loose_and_inline_elements():
     assert read("<table><tr><td class=sponsored>x<td>one<tr><th class=header>two</table>") == "one\ntwo"
     assert read("<p>one <span class=ad>x <span>y</span> z</span>two <a class='share'>s</a>three</p>") == "one two three"
     assert read("<p><span class=ad>x<p>one</p><div>two</div><pre>a <span class='hljs-comment'>b</span></pre>") == "one\ntwo\na b"
+
+
+# ---- pipeline -----------------------------------------------------------------------------------------
+
+
+def test_the_pipeline_gives_the_ids_of_its_digests(spark, tmp_path, monkeypatch, docs):  # noqa: F811
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    docs([(1, "hello there", "s"), (2, "", "s"), (3, None, "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() for r in corpus_pipeline.token_ids(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 3
