@@ -41,7 +41,7 @@ def test_components_of_all_orders(spark, sf_dir, orders):
             low = min(label[a], label[b])
             moved |= label[a] != label[b]
             label[a] = label[b] = low
-    assert rows(QUERIES["connected_components_whole"](spark, sf_dir), "node", "label") == sorted(label.items())
+    assert rows(QUERIES["connected_components"](spark, sf_dir), "node", "label") == sorted(label.items())
 
 
 def test_levels_of_all_edges(spark, sf_dir, adjacent):
@@ -50,17 +50,35 @@ def test_levels_of_all_edges(spark, sf_dir, adjacent):
         new = sorted({int(w) for v in at for w in np.flatnonzero(near[v])} - set(dist))
         dist |= {w: dist[at[0]] + 1 for w in new}
         at = new
-    assert rows(QUERIES["bfs_levels_whole"](spark, sf_dir), "node", "dist") == sorted(dist.items())
+    assert rows(QUERIES["bfs_levels"](spark, sf_dir), "node", "dist") == sorted(dist.items())
 
 
 def test_two_hops_of_all_edges(spark, sf_dir, adjacent):
     after = [np.flatnonzero(r).tolist() for r in adjacent]
-    assert rows(QUERIES["two_hop_paths_whole"](spark, sf_dir), "a", "b", "c") == [(a, b, c) for a in range(1000) for b in after[a] for c in after[b]]
+    paths = {}
+    for a in range(1000):
+        for b in after[a]:
+            for c in after[b]:
+                paths.setdefault((a, c), []).append(b)
+    assert rows(QUERIES["two_hop_paths"](spark, sf_dir), "a", "c", "n", "low", "high") == sorted((a, c, len(m), min(m), max(m)) for (a, c), m in paths.items())
+
+
+def test_long_chains_are_contracted(spark):
+    chain = spark.range(3000).selectExpr("id AS src", "id + 1 AS dst").where("src != 1700").union(spark.createDataFrame([(9000, 9000)], "src long, dst long"))
+    got = dict(rows(graph.connected_components(chain), "node", "label"))
+    assert got == {i: 0 if i <= 1700 else 1701 for i in range(3001)} | {9000: 9000}
+    assert graph.connected_components(chain.limit(0)).count() == 0
+
+
+def test_pagerank_plan_reads_the_ranks_once_a_round(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "src long, dst long")
+    df = graph.pagerank(e, spark.range(4).withColumnRenamed("id", "node"), 6, cut_every=10, dangling="lost")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 6
 
 
 def test_paths_of_all_edges(spark, sf_dir, adjacent):
     two = adjacent @ adjacent
     want = {(int(a), int(b), hops): int(m[a, b]) for hops, m in enumerate((adjacent, two, two @ adjacent), 1) for a, b in np.argwhere(m)}
-    got = QUERIES["recursive_paths_whole"](spark, sf_dir).toPandas()
+    got = QUERIES["recursive_paths"](spark, sf_dir).toPandas()
     assert len(got) == len(want)
     assert dict(zip(zip(got["src"], got["dst"], got["hops"]), got["n"])) == want

@@ -1,7 +1,7 @@
 """Loops.
 
 iterate() runs a body over whole frames until its feedback is dry; each round is cut from its lineage by a
-reliable checkpoint in the cluster's shared folder, so an executor's loss repeats one round.  fused() is for
+table in the cluster's shared folder, so an executor's loss repeats one round.  fused() is for
 bodies that look at one row only: the whole loop becomes one expression, without rounds or shuffles.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,12 +27,26 @@ class Step:
     output: DataFrame
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of our own only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tidemark")).rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints", "loops"))
-    return df.checkpoint()
+    """Writes df to the shared folder and reads it back.  Unlike DataFrame.checkpoint() this forgets the optimizer's
+    estimates, too: a join's is the product of its sides', so in a loop its digits double from round to round."""
+    path = f"{shared_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table made by checkpoint() that nothing will read again."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def iterate(df: DataFrame, body: Callable[[DataFrame], Step], max_rounds: int = 100, counter: str = "iter") -> DataFrame:
@@ -70,23 +85,16 @@ def fused(df: DataFrame, value: str, step: Callable[[Column], Column], done: Cal
     return f.drop("__loop")
 
 
-def until_stable(start: DataFrame, body: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], Column], max_rounds: int = 100) -> DataFrame:
-    """Applies body until no row of its result fulfils changed."""
-    now = checkpoint(start)
-    for _ in range(max_rounds):
-        now = checkpoint(body(now))
-        if now.where(changed(now)).isEmpty():
-            return now
-    raise NotConverged(f"still changing after {max_rounds} rounds")
-
-
 def rounds(start: DataFrame, body: Callable[[DataFrame], DataFrame], n: int, cut_every: int = 5) -> DataFrame:
-    """Applies body n times; lineage is cut every so many rounds."""
-    now = start
+    """Applies body n times; lineage is cut every so many rounds, and the table of the cut before goes."""
+    now, last = start, None
     for k in range(1, n + 1):
         now = body(now)
         if k % cut_every == 0 and k < n:
             now = checkpoint(now)
+            if last is not None:
+                forget(last)
+            last = now
     return now
 
 

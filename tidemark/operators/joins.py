@@ -34,3 +34,9 @@ def interval(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, be
     lo, hi = F.floor((F.col(f"right_{time}") - after) / width), F.floor((F.col(f"right_{time}") + before) / width)
     r = r.withColumn("__bucket", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
     return l.join(r, [*on, "__bucket"]).where(F.col(f"right_{time}").between(F.col(time) - before, F.col(time) + after)).drop("__bucket")
+
+
+def two_hops(edges: DataFrame) -> DataFrame:
+    """a, b, c: each path of two edges (src, dst)."""
+    x, y = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
+    return x.join(y, "b").select("a", "b", "c")

@@ -69,20 +69,12 @@ def hash_join_users_orders(spark, sf_dir):
     return c.join(o, ["k"]).df
 
 
-@query("two_hop_paths", f"WITH {edges_sql(1000)}, d AS (SELECT DISTINCT src, dst FROM g WHERE src < 50 AND dst < 50) SELECT a.src AS a, a.dst AS b, b.dst AS c FROM d a JOIN d b ON a.dst = b.src")
+@query("two_hop_paths", f"WITH {edges_sql(1000)}, d AS (SELECT DISTINCT src, dst FROM g) SELECT a.src AS a, b.dst AS c, count(*)::BIGINT AS n, min(a.dst) AS low, max(a.dst) AS high FROM d a JOIN d b ON a.dst = b.src GROUP BY 1, 2")
 def two_hop_paths(spark, sf_dir):
-    return _two_hops(edges(spark, sf_dir, 1000).where("src < 50 AND dst < 50").distinct())
-
-
-@query("two_hop_paths_whole")
-def two_hop_paths_whole(spark, sf_dir):
-    """Over all edges; two_hop_paths is held to its SQL, which takes few vertices."""
-    return _two_hops(edges(spark, sf_dir, 1000).distinct())
-
-
-def _two_hops(d):
-    x, y = d.select(F.col("src").alias("a"), F.col("dst").alias("b")), d.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return x.join(y, "b").select("a", "b", "c")
+    """The self-join over all edges; its paths are gathered by their ends, as a list of them grows with the square
+    of the edges."""
+    d = edges(spark, sf_dir, 1000).distinct()
+    return joins.two_hops(d).groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("low"), F.max("b").alias("high"))
 
 
 @query("join_per_epoch", f"WITH {E} SELECT a.epoch, a.user_id, a.seq AS click, b.seq AS purchase FROM e a JOIN e b ON a.epoch = b.epoch AND a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'purchase'")

@@ -74,20 +74,26 @@ def iterate_nested(spark, sf_dir):
     return iterate.fused(d, "v", inner, lambda v: v >= 30, 20)
 
 
-@query("recursive_paths", f"WITH RECURSIVE {edges_sql(1000)}, d AS (SELECT DISTINCT src, dst FROM g WHERE src < 40 AND dst < 60), r AS (SELECT src, dst, 1 AS hops FROM d UNION ALL SELECT r.src, d.dst, hops + 1 FROM r JOIN d ON r.dst = d.src WHERE hops < 3) SELECT src, dst, hops::BIGINT AS hops, count(*)::BIGINT AS n FROM r GROUP BY 1, 2, 3")
-def recursive_paths(spark, sf_dir):
-    edges(spark, sf_dir, 1000).where("src < 40 AND dst < 60").distinct().createOrReplaceTempView("tidemark_edges")
-    r = iterate.recursive(spark, "r", "SELECT src, dst, 1L AS hops FROM tidemark_edges", "SELECT r.src, d.dst, hops + 1 FROM r JOIN tidemark_edges d ON r.dst = d.src WHERE hops < 3")
-    return r.groupBy("src", "dst", "hops").agg(F.count(F.lit(1)).alias("n"))
+_V = 1000
+_D = f"{edges_sql(_V)}, d AS (SELECT DISTINCT src, dst FROM g)"
 
 
-_V = 1000
+@query("recursive_series", "SELECT n_nationkey::BIGINT AS start, v::BIGINT AS v, (n_nationkey - v)::BIGINT AS depth FROM (SELECT n_nationkey, unnest(generate_series(0, n_nationkey)) AS v FROM nation)")
+def recursive_series(spark, sf_dir):
+    """A recursive common table expression: each key counted down to 0."""
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k")).createOrReplaceTempView("tidemark_keys")
+    return iterate.recursive(spark, "r", "SELECT k AS start, k AS v, 0L AS depth FROM tidemark_keys", "SELECT start, v - 1, depth + 1 FROM r WHERE v > 0")
 
 
-@query("recursive_paths_whole")
-def recursive_paths_whole(spark, sf_dir):
-    """Paths of up to three of all edges; recursive_paths is held to its SQL, which takes few vertices.  Paths are
-    summed by their ends in each round, so they are counted, not listed."""
+@query(
+    "recursive_paths",
+    f"""WITH {_D}, p2 AS (SELECT x.src, y.dst, count(*) AS n FROM d x JOIN d y ON x.dst = y.src GROUP BY ALL),
+        p3 AS (SELECT x.src, y.dst, sum(n) AS n FROM p2 x JOIN d y ON x.dst = y.src GROUP BY ALL)
+        SELECT src, dst, 1::BIGINT AS hops, 1::BIGINT AS n FROM d UNION ALL SELECT src, dst, 2, n FROM p2 UNION ALL SELECT src, dst, 3, n::BIGINT FROM p3""",
+)
+def recursive_paths(spark, sf_dir):
+    """The number of paths of up to three edges between any two vertices.  Paths are summed by their ends in each
+    round, so they are counted, not listed."""
     d = iterate.checkpoint(edges(spark, sf_dir, _V).distinct())
     now = d.withColumn("n", F.lit(1).cast("long"))
     out = now.withColumn("hops", F.lit(1).cast("long"))
@@ -98,15 +104,16 @@ def recursive_paths_whole(spark, sf_dir):
     return out.select("src", "dst", "hops", "n")
 
 
-@query("bfs_levels", f"WITH RECURSIVE {edges_sql(_V)}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)), f AS (SELECT src, dst FROM u WHERE (src + dst) % 13 = 0), b AS (SELECT 0::BIGINT AS node, 0::BIGINT AS dist UNION SELECT f.dst, dist + 1 FROM b JOIN f ON b.node = f.src WHERE dist < 60) SELECT node, min(dist) AS dist FROM b GROUP BY 1")
-def bfs_levels(spark, sf_dir):
-    e = edges(spark, sf_dir, _V).where("(src + dst) % 13 = 0")
-    return graph.bfs_levels(e, spark.createDataFrame([(0,)], "node long"))
+def _levels_sql(v: int, most: int) -> str:
+    """Breadth-first levels as a chain of tables, one a level; most: more than the graph's diameter."""
+    parts = [f"WITH {edges_sql(v)}, u AS MATERIALIZED (SELECT src, dst FROM g UNION SELECT dst, src FROM g), b0 AS MATERIALIZED (SELECT 0::BIGINT AS node, 0::BIGINT AS dist)"]
+    for k in range(1, most + 1):
+        parts.append(f"b{k} AS MATERIALIZED (SELECT node, min(dist) AS dist FROM (SELECT * FROM b{k - 1} UNION ALL SELECT u.dst, dist + 1 FROM b{k - 1} JOIN u ON node = u.src) GROUP BY node)")
+    return ", ".join(parts) + f" SELECT node, dist FROM b{most}"
 
 
-@query("bfs_levels_whole")
-def bfs_levels_whole(spark, sf_dir):
-    """Over the edges of all lineitem rows; bfs_levels is held to its SQL, which takes a thirteenth of them."""
+@query("bfs_levels", _levels_sql(_V, 12))
+def bfs_levels(spark, sf_dir):
     return graph.bfs_levels(edges(spark, sf_dir, _V), spark.createDataFrame([(0,)], "node long"))
 
 
@@ -138,7 +145,7 @@ def pagerank_top10(spark, sf_dir):
     return _pagerank(spark, sf_dir, 20_000, 10, "spread").orderBy(F.col("rank").desc(), "node").limit(10)
 
 
-_CHAIN = "SELECT o_orderkey % 3000 AS src, (o_orderkey * 7 + o_custkey) % 3000 AS dst, o_orderkey AS seq FROM orders WHERE o_orderkey % 5 = 0"
+_CHAIN = "SELECT o_orderkey % 3000 AS src, (o_orderkey * 7 + o_custkey) % 3000 AS dst, o_orderkey AS seq FROM orders"
 
 
 def _chain(spark, sf_dir):
@@ -147,17 +154,34 @@ def _chain(spark, sf_dir):
     return o.select((F.col("o_orderkey") % 3000).alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 3000).alias("dst"), F.col("o_orderkey").alias("seq"))
 
 
-@query("connected_components", f"WITH RECURSIVE g AS ({_CHAIN}), u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), c AS (SELECT a AS node, a AS r FROM u UNION SELECT c.node, u.b FROM c JOIN u ON c.r = u.a) SELECT node, min(r) AS label FROM c GROUP BY 1")
-def connected_components(spark, sf_dir):
-    return graph.connected_components(_chain(spark, sf_dir).where("seq % 5 = 0").select("src", "dst"))
+def _components_sql(rounds: int) -> str:
+    """Least labels of neighbours, then labels of labels, a table a round; rounds: more than needed."""
+    parts = [f"WITH g AS ({_CHAIN}), u AS MATERIALIZED (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), l0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS label FROM u)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"n{k} AS MATERIALIZED (SELECT a AS node, min(label) AS low FROM u JOIN l{k - 1} ON b = node GROUP BY a)")
+        parts.append(f"m{k} AS MATERIALIZED (SELECT l.node, least(label, low) AS label FROM l{k - 1} l JOIN n{k} n ON l.node = n.node)")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT x.node, y.label FROM m{k} x JOIN m{k} y ON x.label = y.node)")
+    return ", ".join(parts) + f" SELECT node, label FROM l{rounds}"
 
 
-@query("connected_components_whole")
-def connected_components_whole(spark, sf_dir):
-    """Over all orders; connected_components is held to its SQL, which takes a fifth of them."""
+@query("connected_components", _components_sql(10))
+def connected_components(spark, sf_dir):
     return graph.connected_components(_chain(spark, sf_dir).select("src", "dst"))
 
 
-@query("union_find_merges")
+def _merges_sql(rounds: int, jumps: int) -> str:
+    """Boruvka's rounds as tables: each label's least edge, hooks, jumps to the root, edges between roots."""
+    parts = [f"WITH g AS ({_CHAIN}), e0 AS MATERIALIZED (SELECT src AS a, dst AS b, seq, src, dst FROM g WHERE src <> dst)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"t{k} AS MATERIALIZED (SELECT x, arg_min(y, seq) AS y, min(seq) AS seq FROM (SELECT a AS x, b AS y, seq FROM e{k - 1} UNION ALL SELECT b, a, seq FROM e{k - 1}) GROUP BY x)")
+        parts.append(f"h{k}_0 AS MATERIALIZED (SELECT p.x, CASE WHEN q.y = p.x AND p.x < p.y THEN p.x ELSE p.y END AS r FROM t{k} p JOIN t{k} q ON p.y = q.x)")
+        for j in range(1, jumps + 1):
+            parts.append(f"h{k}_{j} AS MATERIALIZED (SELECT p.x, q.r FROM h{k}_{j - 1} p JOIN h{k}_{j - 1} q ON p.r = q.x)")
+        parts.append(f"e{k} AS MATERIALIZED (SELECT p.r AS a, q.r AS b, seq, src, dst FROM e{k - 1} JOIN h{k}_{jumps} p ON a = p.x JOIN h{k}_{jumps} q ON b = q.x WHERE p.r <> q.r)")
+    every = " UNION ".join(f"SELECT seq FROM t{k}" for k in range(1, rounds + 1))
+    return ", ".join(parts) + f" SELECT seq, src, dst FROM g WHERE seq IN ({every})"
+
+
+@query("union_find_merges", _merges_sql(8, 8))
 def union_find_merges(spark, sf_dir):
     return graph.union_find_merges(_chain(spark, sf_dir), ["seq"])
