@@ -29,10 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the cluster names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tidemark")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tidemark")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +68,28 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The most bits of a filter of keys: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose 64-bit key may be in keys (a column of the same name): all that are, and some that are
+    not.  Keeps wide rows that a join would drop out of its exchange.
+
+    keys become an array of bits, one a key, of bounded size, which is broadcast.  With more keys than bits it
+    drops little, and the join gives the same rows all the same."""
+    n = keys.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * n).bit_length()))
+    at = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(bits))
+    set_ = keys.select(F.shiftright(at, 6).alias("i"), (at % 64).cast("int").alias("b")).select("i", F.expr("shiftleft(1L, b)").alias("w"))
+    every = df.sparkSession.range(bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))
+    words = set_.groupBy("i").agg(F.bit_or("w").alias("w")).union(every).groupBy("i").agg(F.bit_or("w").alias("w"))
+    filter_ = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("__words"))
+    got = F.get(F.col("__words"), F.shiftright(F.col("__at"), 6).cast("int"))
+    hit = got.bitwiseAND(F.expr("shiftleft(1L, cast(__at % 64 as int))"))
+    return df.withColumn("__at", at).join(F.broadcast(filter_), hit != 0, "left_semi").drop("__at")
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:
     """Joins on null-safe keys.  small is broadcast if its counted rows are few, else copied to SALTS
     salts so that a hot key of big is dealt over as many tasks; spread names a column of big to deal by.

@@ -1,29 +1,31 @@
-"""Connected components by least labels and pointer jumping, on tables."""
+"""Connected components of links, on tables that are deleted once they are replaced."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import contracted
 from .common import forget, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: for every node of an edge the least node that it is connected with.
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, label: for every node of a link to another node one node of its component."""
+    spark = links.sparkSession
+    return contracted(links.select(F.col(a).alias("a"), F.col(b).alias("b")), lambda df: written(df, "components"), lambda df: forget(spark, df))
 
-    Each round takes the least label of the neighbours and then the label of one's label; it ends when
-    nothing changes.  Sums are made before they are shuffled, so a node with many neighbours is no load.
-    """
-    spark = edges.sparkSession
-    both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x != y"), "cc-edges")
-    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "cc-labels")
-    while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels["node"] == near["x"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = new.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        new = written(new.join(jump, new["label"] == jump["at"], "left").select("node", "old", F.least("label", "to").alias("label")), "cc-labels")
-        changed = new.where("old != label").limit(1).count()
-        forget(spark, labels)
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links: those become pairs of labels first, each once, so that a group that
+    has grown together costs nothing more.  The table of labels is replaced."""
+    spark = links.sparkSession
+    if labels is None:
+        return components(links)
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    pairs = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    more = components(pairs.where("a != b").distinct())
+    new = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = written(new.union(more.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    forget(spark, labels)
+    forget(spark, more)
+    return new

@@ -7,11 +7,13 @@ for linked sets is at most a third of the smaller one (similarity 0.75).  K is l
 agree in at least one part that is not empty, and meet there.  Sets near a border are put into both bands.  Sets
 of up to TINY shingles use each shingle as a part of its own.
 
-Those that meet in a part make a run.  Every member is first held against the run's first member; what links is
-joined into components.  Then only runs that still hold several components are looked at again, twice for each
-member's nearest set of another component and then for all pairs across components; a parity sketch of bits, whose Hamming distance
-is at most the symmetric difference, rules most of them out before the sets are compared.  So a group of
-thousands of near copies costs a few comparisons per member, and no link is lost.
+Those that meet in a part make a run.  Every set is first held against the least of all its runs' first members:
+one pair a set, after which most near copies are one component.  Components are merged on their labels, and runs
+that hold one label only are out.  In the rest each set is held against its runs' first members of other
+components, then twice against its nearest of another component, and at last all pairs across components are
+compared; a parity sketch of bits, whose Hamming distance is at most the symmetric difference, rules most of them
+out before the sets are compared.  A run of many members is cut into blocks, and pairs of blocks are dealt to
+tasks.  So a group of thousands of near copies costs a few comparisons per member, and no link is lost.
 
 Equal sets are one node throughout.  Two different sets share a 64-bit name with probability 2^-64 a pair.  An
 empty part that two sets share tells nothing; K leaves room for that, and for a linked pair the probability
@@ -35,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from .common import batches_of, forget, release, table, written
-from .graph import components
+from .common import batches_of, forget, maybe_in, release, table, written
+from .graph import merged
 from .memos import serve
 from .suffix_dedup import row_key
 from .words import bounds, mixed, pack, runs, shingle_set, unpack
@@ -51,11 +53,21 @@ BLOCK, BATCH = 200_000, 500
 #: all runs.
 NEAREST_SHARE = 8
 
+#: Members of a run that are compared with each other in one piece.
+MEMBERS = 1_024
+
 _U = np.uint64
 _CONTENT = _U((1 << 44) - 1)
+#: As many parts can be numbered beside 44 bits of content.
+PACKED_PARTS = 1 << 20
 EDGES = [TINY]
-while EDGES[-1] < 2_500_000:  # as many shingles as parts can be numbered for with 20 bits
-    EDGES.append(math.floor(EDGES[-1] * RATIO))
+
+
+def band_of(n: int) -> int:
+    """The band of sets of n shingles; there is no last one."""
+    while EDGES[-1] < n:
+        EDGES.append(math.floor(EDGES[-1] * RATIO))
+    return next(j for j, e in enumerate(EDGES) if n <= e)
 
 
 def parts_of_band(band: int) -> int:
@@ -72,17 +84,22 @@ def signatures(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:  # two different sets need at least 3 and 4 shingles
         return np.empty(0, _U)
-    band = next((j for j, e in enumerate(EDGES) if n <= e), len(EDGES) - 1)
+    band = band_of(n)
     out = []
     for j in (band, band - 1) if band and math.ceil(0.75 * n) <= EDGES[band - 1] else (band,):
         if j == 0:
             out.append(mixed(s + _U(1)))
             continue
-        # one sort deals and orders: the part's number above, 44 bits of the shingle below
-        x = np.sort(((s >> _U(44)) % _U(parts_of_band(j))) << _U(44) | (s & _CONTENT))
-        part = x >> _U(44)
+        k = parts_of_band(j)
+        if k <= PACKED_PARTS:  # one sort deals and orders: the part's number above, 44 bits of the shingle below
+            x = np.sort(((s >> _U(44)) % _U(k)) << _U(44) | (s & _CONTENT))
+            part, x = x >> _U(44), x & _CONTENT
+        else:
+            part = s % _U(k)
+            order = np.argsort(part, kind="stable")
+            part, x = part[order], s[order]
         starts = runs(part)[:-1]
-        content = np.bitwise_xor.reduceat(x & _CONTENT, starts)
+        content = np.bitwise_xor.reduceat(x, starts)
         out.append(mixed(content + mixed(part[starts] * _U(64) + _U(j))))
     return np.concatenate(out)
 
@@ -187,8 +204,8 @@ def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
 def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
     """s, n, shingles (packed, the upper 48 bits), sketch for the sets in wanted (s), each once a task.  A text is
     found by its row_key, so sets that only rows without an id hold are found as well."""
-    ids = base.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("row").alias("row"))
-    own = docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text")).join(ids, "row")
+    ids = written(base.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("row").alias("row")), "jaccard-ids")
+    own = maybe_in(docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text")), "row", ids).join(ids, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()  # rows of one key are repeated rows
@@ -204,7 +221,9 @@ def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, tex
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["s", "n", "shingles", "sketch"])
 
-    return own.select("text", "s").mapInArrow(run, "s long, n long, shingles binary, sketch binary")
+    out = written(own.select("text", "s").mapInArrow(run, "s long, n long, shingles binary, sketch binary"), "jaccard-sets")
+    forget(docs.sparkSession, ids)
+    return out
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -267,17 +286,20 @@ def promising(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 def across(members: DataFrame, percent: int, parts: int, nearest: int | None) -> DataFrame:
     """a, b: all pairs of sets of a run (run, s, n, sketch, label) that have different labels and that sizes and
-    sketches allow to link; nearest: of them, each set's so many nearest by sketch.  Runs are dealt to tasks by
-    hash, many to a group, and compared by distance in the run."""
+    sketches allow to link; nearest: of them, each set's so many nearest by sketch.
+
+    A run's members are dealt to blocks of about MEMBERS, and each pair of blocks is a piece of work of its own:
+    pieces are dealt to tasks by hash, many to a group, and compared by distance in the piece."""
 
-    def pairs_of(run: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of pairs with different labels within runs (sorted), a block at a time."""
-        left, gap, held, size = np.arange(len(run)), 0, [], 0
+    def pairs_of(piece: np.ndarray, label: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs with different labels (and sides, if a piece has two) within pieces (sorted), a block
+        at a time."""
+        left, gap, held, size = np.arange(len(piece)), 0, [], 0
         while len(left):
             gap += 1
-            left = left[left + gap < len(run)]
-            left = left[run[left] == run[left + gap]]
-            own = left[label[left] != label[left + gap]]
+            left = left[left + gap < len(piece)]
+            left = left[piece[left] == piece[left + gap]]
+            own = left[(label[left] != label[left + gap]) & ((side[left] == 0) | (side[left] != side[left + gap]))]
             held.append((own, own + gap))
             size += len(own)
             if size > BLOCK or not len(left):
@@ -285,11 +307,10 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
                 held, size = [], 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "label"], ignore_index=True)
+        pdf = pdf.sort_values(["piece", "label"], ignore_index=True)
         s, n, k = pdf["s"].to_numpy(), pdf["n"].to_numpy(), _sketches(pdf["sketch"])
-        label = pdf["label"].to_numpy()
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for i, j in pairs_of(pdf["run"].to_numpy(), label):
+        for i, j in pairs_of(pdf["piece"].to_numpy(), pdf["label"].to_numpy(), pdf["side"].to_numpy()):
             fits, near = fitting(k, n, i, j, percent)
             i, j, near = i[fits], j[fits], near[fits]
             if nearest:  # of this block; the block's best are the candidates for the group's best
@@ -318,7 +339,13 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
         p = np.unique(p, axis=0)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)).cast("int"))
+    sizes = members.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    d = members.join(sizes, "run").withColumn("block", F.pmod(F.xxhash64("s", F.lit(3)), "blocks").cast("int"))
+    # a piece for each pair of blocks; side 0: of a block with itself
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumn("side", F.when(F.col("other") == F.col("block"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
+    d = d.withColumn("piece", F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other")))
+    dealt = d.select("piece", "side", "s", "n", "sketch", "label", F.pmod("piece", F.lit(parts)).cast("int").alias("part"))
     packed = dealt.groupBy("part").applyInPandas(run, "part int, a binary, b binary")  # pairs meet in many runs
     return packed.groupBy("part").applyInPandas(once, "a long, b long")
 
@@ -335,35 +362,47 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = written(named_sets(docs, doc, text), "jaccard-base")
-    runs_ = written(sketch_runs(docs, text), "jaccard-runs")
+    open_ = written(sketch_runs(docs, text), "jaccard-runs").withColumn("label", F.col("s")).withColumn("first", F.col("lead"))
     release(spark)
-    sets = written(set_table(docs, base, runs_.select("s").distinct(), doc, text), "jaccard-sets")
+    sets = set_table(docs, base, open_.select("s").distinct(), doc, text)
     release(spark)
     facts = sets.select("s", "n", "sketch")
-    tried = runs_.where("s != lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b")).distinct()
-    tried = written(promising(tried, facts, percent), "jaccard-tried")
-    links = written(linked(tried, sets, percent), "jaccard-links")
-    for nearest in (1, 1, None):  # near copies grow together first; then every pair that is left
-        labels = components(links)
-        labelled = runs_.select("run", "s").join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("run", "s", F.coalesce("label", "s").alias("label"))
-        labelled = written(labelled, "jaccard-labelled")
-        release(spark)
-        some = labelled.where(F.pmod(F.xxhash64("run", F.lit(7)), F.lit(NEAREST_SHARE)) == 0) if nearest else labelled
-        open_runs = some.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("run")
-        members = some.join(open_runs, "run", "left_semi").join(facts, "s")
-        new = written(across(members, percent, parts, nearest).join(tried, ["a", "b"], "left_anti"), "jaccard-new")
-        forget(spark, labelled)
+    labels = None
+
+    def grown(pairs: DataFrame) -> None:
+        """Compares pairs (a, b) and merges the components of those that link; runs of one label are out."""
+        nonlocal labels, open_
+        pairs = written(pairs.distinct(), "jaccard-pairs")
+        fit = written(promising(pairs, facts, percent), "jaccard-fit")
+        links = written(linked(fit, sets, percent), "jaccard-links")
+        labels = merged(labels, links)
+        for t in (pairs, fit, links):
+            forget(spark, t)
+        own = labels.select(F.col("node").alias("s"), F.col("label").alias("to"))
+        now = open_.select("run", "s", "lead").join(own, "s", "left").select("run", "s", "lead", F.coalesce("to", "s").alias("label"))
+        several = now.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("label", F.abs(F.col("s") - F.col("lead"))).alias("first")).where("x != y").select("run", "first")
+        new = written(now.join(several, "run"), "jaccard-runs")
+        forget(spark, open_)
+        open_ = new
         release(spark)
-        tried = tried.union(new)
-        links = written(links.union(linked(new, sets, percent)), "jaccard-links")
-    labels = components(links)
+
+    pair = (F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b"))
+    grown(open_.where("s != lead").groupBy("s").agg(F.min("lead").alias("lead")).select(*pair))
+    grown(open_.where("label != first").select(*pair))
+    for nearest in (1, 1, None):  # near copies grow together first; then every pair that is left
+        some = open_.where(F.pmod(F.xxhash64("run", F.lit(7)), F.lit(NEAREST_SHARE)) == 0) if nearest else open_
+        grown(across(some.select("run", "s", "label").join(facts, "s"), percent, parts, nearest))
+    forget(spark, open_)
+    forget(spark, sets)
     classes = base.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
-    classes = written(classes, "jaccard-classes")
+    classes = written(classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")), "jaccard-classes")
     first = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = written(classes.join(first, "label").select("s", "component_id"), "jaccard-components")
-    out = base.join(classes, "s", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(classes.join(first, "label").select("s", "component_id"), "jaccard-components")
+    out = written(base.join(named, "s", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-result")
+    for t in (labels, classes, named, base):
+        forget(spark, t)
+    release(spark)
+    return out
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
