@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import brute_components, docs, near_copies  # noqa: F401
-from tidemark.llm import common, graph, jaccard_join, words
+from tidemark.llm import common, graph, jaccard_join, mixing, words
 
 
 # ---- shared parts ------------------------------------------------------------------------------------
@@ -74,3 +74,27 @@ def test_clashing_columns(docs):  # noqa: F811
     for c in ("s", "row", "run", "lead", "label", "n", "shingles", "component_id", "part"):
         d = d.withColumn(c, F.lit("x"))
     assert sorted(map(tuple, jaccard_join.jaccard_components(d).collect())) == [(1, 2, 1), (2, 2, 1)]
+
+
+# ---- 10 mixing -----------------------------------------------------------------------------------------
+
+
+def test_tied_caps_give_the_contracts_targets(spark):
+    sizes = spark.createDataFrame([("a", 5000), ("b", 2000)], "source string, source_size long")
+    assert {r["source"]: r["target"] for r in mixing.targets(sizes).collect()} == {"a": 7500.0, "b": 3000.0}
+    equal = spark.createDataFrame([(x, 800) for x in "abcd"], "source string, source_size long")  # a and d tie, b is capped
+    got = {r["source"]: r["target"] for r in mixing.targets(equal).collect()}
+    assert got == {"a": 1600.0, "b": 1066.6666666666667, "c": 533.3333333333334, "d": 1600.0}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_rows_of_one_id_are_told_apart(spark, tmp_path, same):
+    rows = [(7 if k % 2 else None, "w " * (10 if same else 1 + k % 20), "en", "a", 1) for k in range(200)] + [(1000 + k, "w " * 10, "en", "b", 1) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("u", F.lit(1)).withColumn("tie", F.lit(2)).withColumn("place", F.lit(3)).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    got, taken = mixing.mix(d, share=1.1).collect(), {}
+    for r in got:
+        t = taken.setdefault(r["source"], [r["target"], 0])
+        t[1] += r["copies"] * r["size"]
+    assert len(got) == 600 and all(abs(target - n) <= 10 for target, n in taken.values())
+    assert mixing.mixed_rows(d, share=1.1).columns == d.columns and mixing.mixed_rows(d, share=1.1).count() == sum(r["copies"] for r in got)

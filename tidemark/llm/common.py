@@ -72,9 +72,9 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 FILTER_BITS = 1 << 26
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of df whose 64-bit key may be in keys (a column of the same name): all that are, and some that are
-    not.  Keeps wide rows that a join would drop out of its exchange.
+    not.  Keeps wide rows that a join would drop out of its exchange.  how="left_anti": the other rows.
 
     keys become an array of bits, one a key, of bounded size, which is broadcast.  With more keys than bits it
     drops little, and the join gives the same rows all the same."""
@@ -87,7 +87,7 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     filter_ = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("__words"))
     got = F.get(F.col("__words"), F.shiftright(F.col("__at"), 6).cast("int"))
     hit = got.bitwiseAND(F.expr("shiftleft(1L, cast(__at % 64 as int))"))
-    return df.withColumn("__at", at).join(F.broadcast(filter_), hit != 0, "left_semi").drop("__at")
+    return df.withColumn("__at", at).join(F.broadcast(filter_), hit != 0, how).drop("__at")
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "left") -> DataFrame:

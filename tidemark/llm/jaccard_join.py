@@ -350,12 +350,14 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
     return packed.groupBy("part").applyInPandas(once, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.  Parts and bands hold for 75 percent and more."""
+def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; rows: its row_key, too.  Parts and bands hold for 75
+    percent and more."""
     if percent < 75:
         raise ConfigError("links of less than 75 percent can be lost")
     with batches_of(docs.sparkSession, BATCH):
-        return _components(docs, doc, text, percent)
+        out = _components(docs, doc, text, percent)
+        return out if rows else out.drop("row")
 
 
 def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame:
@@ -398,7 +400,7 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
     classes = written(classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")), "jaccard-classes")
     first = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     named = written(classes.join(first, "label").select("s", "component_id"), "jaccard-components")
-    out = written(base.join(named, "s", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard-result")
+    out = written(base.join(named, "s", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row"), "jaccard-result")
     for t in (labels, classes, named, base):
         forget(spark, t)
     release(spark)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, forget, maybe_in, release, table, written
 from .memos import serve
 from .words import bounds, expand, mixed, pack, powers, runs, squeeze, unpack, word_hashes
 
@@ -209,7 +209,7 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                     yield s.packed()
         yield s.packed()
 
-    again = d.join(matches, "row").select("id", "text", "row", "places")
+    again = maybe_in(d, "row", matches.select("row")).join(matches, "row").select("id", "text", "row", "places")
     found = _by_document(again.mapInArrow(extended, _SENT), parts)
 
     def spans(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +223,10 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                 out.append((row, *as_rows))
             yield pd.DataFrame(out, columns=["row", "repeated", "removed"])
 
-    return found.mapInPandas(spans, f"row long, repeated {_SPANS}, removed {_SPANS}")
+    out = written(found.mapInPandas(spans, f"row long, repeated {_SPANS}, removed {_SPANS}"), "suffix-found")
+    forget(docs.sparkSession, matches)
+    release(docs.sparkSession)
+    return out
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -238,19 +241,22 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = MIN_WORDS) -> DataFrame:
     """docs with the later occurrences of passages cut from text; other columns as they are."""
-    spans = written(repeated_passages(docs, doc, text, words).where(F.size("removed") > 0).select(F.col("row").alias("__row"), F.col("removed").alias("__removed")), "suffix-spans")
+    found = repeated_passages(docs, doc, text, words).where(F.size("removed") > 0)
 
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([t if r is None or t is None else without_spans(t, [(x["start"], x["stop"]) for x in r]) for t, r in zip(texts, removed)], dtype=object)
 
     cut_udf = F.pandas_udf(cut, "string")
-    d = docs.withColumn("__key", row_key(doc, text)).join(spans, F.col("__key") == F.col("__row"), "left")
-    return d.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(cut_udf(F.col(text), F.col("__removed")))).select(*docs.columns)
+    d, keys = docs.withColumn("__key", row_key(doc, text)), found.select(F.col("row").alias("__key"))
+    spans = found.select(F.col("row").alias("__key"), F.col("removed").alias("__removed"))
+    some = maybe_in(d, "__key", keys).join(spans, "__key", "left")  # the others are not shuffled
+    some = some.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(cut_udf(F.col(text), F.col("__removed"))))
+    return some.select(*docs.columns).union(maybe_in(d, "__key", keys, "left_anti").select(*docs.columns))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = written(repeated_passages(docs), "suffix-found")
+    found = repeated_passages(docs)
     base = written(docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")), "suffix-base")
     total = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]), F.lit(0).cast("long"))
     listed = F.coalesce(F.array_join(F.transform("repeated", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
