@@ -1,8 +1,8 @@
 """The corpus pipeline: documents pass the STAGES in order; each stage's rows are written and read again.
 
 toxicity      documents that the model rejects go; its labels are those of the tables' folder
-near copies   of each group of near copies the document of least id stays (rows repeated whole: one of them);
-              rows without an id stay, as none of them can be named
+near copies   of each group of near copies one row stays, one of least id (rows equal in id and text: the one whose
+              other columns are least); rows without an id stay, as none of them can be named
 passages      passages that repeat are cut but for their first occurrence; documents left empty go
 mixing        documents are taken as often as the mix of sources says
 encoding      token ids of what is left: token_ids() returns the ids, run() (the query) their number and digests
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard_join, mixing, suffix_dedup, toxicity
-from tidemark.llm.common import SPACES, table, written
+from tidemark.llm.common import SPACES, forget, maybe_in, release, table, written
 
 
 #: Documents that are sent to Python at a time; the stages share workers with little memory.
@@ -36,12 +36,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
-    c = written(jaccard_join.jaccard_components(docs).select("doc_id", "component_id").where("doc_id is not null"), "pipeline-components")
-    stay = c.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(stay, docs["doc_id"] == stay["__id"], "left_semi")
-    if c.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id", "text"])
-    return named.union(docs.where("doc_id is null"))
+    c = jaccard_join.jaccard_components(docs, rows=True)
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    stay = c.where(~alone & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias("row"))
+    go = written(c.where(~alone).select("row").distinct().join(stay.select("row"), "row", "left_anti").withColumnRenamed("row", "__row"), "pipeline-copies")
+    d = docs.withColumn("__row", suffix_dedup.row_key("doc_id", "text"))
+    left = maybe_in(d, "__row", go, "left_anti").union(maybe_in(d, "__row", go).join(go, "__row", "left_anti").select(*d.columns))
+    left = left.select(*docs.columns)
+    if c.where(~alone).groupBy("row").count().where("count > 1").limit(1).count():  # rows repeated whole
+        rest = [x for x in docs.columns if x not in ("doc_id", "text")]
+        words = F.length(F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES))) > 0
+        once = left.where(words & F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__r"))
+        left = left.where(~words | F.col("doc_id").isNull()).union(once.select(*[F.col(x) if x in ("doc_id", "text") else F.col(f"__r.{x}").alias(x) for x in docs.columns]))
+    return left
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +90,13 @@ ORACLE_SQL = None
 
 def _left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that all stages but the last leave."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if last is not None:
+            forget(spark, last)
+        last = docs
+        release(spark)
     return docs
 
 
