@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import brute_components, docs, near_copies  # noqa: F401
-from tidemark.llm import common, graph, jaccard_join, mixing, words
+from tidemark.llm import common, graph, html_extract, jaccard_join, mixing, words
 
 
 # ---- shared parts ------------------------------------------------------------------------------------
@@ -98,3 +98,53 @@ def test_rows_of_one_id_are_told_apart(spark, tmp_path, same):
         t[1] += r["copies"] * r["size"]
     assert len(got) == 600 and all(abs(target - n) <= 10 for target, n in taken.values())
     assert mixing.mixed_rows(d, share=1.1).columns == d.columns and mixing.mixed_rows(d, share=1.1).count() == sum(r["copies"] for r in got)
+
+
+# ---- 6 pages -------------------------------------------------------------------------------------------
+
+
+def read(x):
+    return html_extract.main_text(f"<body><article>{x}</article></body>", None)
+
+
+def test_script_text_is_no_markup():
+    assert read("<script>if(a<b){s='it';} // don't</script><p>He said don't</p>") == "He said don't"
+    assert read("<style>a > b{}</style><!-- <p>x -- > --><p title='a > b'>y</p><p>1 < 2 & 3 > 2</p>") == "y\n1 < 2 & 3 > 2"
+
+
+def test_only_whole_marks_are_furniture():
+    assert read("<div id='search-results-explained'><p>kept</p></div><div class='ad-box-3'>gone</div><div class='shareButtons'>gone</div>") == "kept"
+    assert read("<noscript>n</noscript><math><mi>x</mi></math><p>one</p><select><option>a</select><textarea>t</textarea>") == "n\nx\none"
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<div>", "</x>", "<span class=ad>", "<a '", "<p><span class=ad><li></li>", "<!--", "<td><tr>", "<div>x</p>"])
+def test_junk_is_read_in_linear_time(junk):
+    import time
+
+    t = time.time()
+    html_extract.main_text(junk * (1_000_000 // len(junk)), None)
+    assert time.time() - t < 30  # a quadratic scan takes hours
+
+
+def test_slots_without_telling_names(spark):
+    """No article, no class, no furniture element: menu, notice and footer are told by the template alone."""
+    r = random.Random(1)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    bodies = {i: [text(40), text(60), text(25)] for i in range(12)}
+    page = lambda i, b: f"<html><body><div id=x1><ul><li><a href=/a>Home</a><li><a href=/b>News {i}</a></ul></div><div id=x2><h2>{b[0]}</h2><div><p>Read our other pages as well, dear reader.</p></div><p>{b[1]}</p><div><p>{b[2]}</p></div></div><div id=x3>All rights reserved {i}</div></body></html>"
+    d = spark.createDataFrame([(i, "http://a.example/x", page(i, b)) for i, b in bodies.items()], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(d).collect()}
+    assert got == {i: "\n".join(b) for i, b in bodies.items()}
+
+
+def test_classes_are_nested_in_the_root():
+    html = "<body><div class=a><section>x</section><section>y</section></div><div class=b>z</div></body>"
+    tokens = html_extract.occurrences(html)
+    by = {}
+    for t, (n, size) in tokens.items():
+        by.setdefault(n, []).append({"token": t, "mass": 9 * size})
+    t = html_extract.Template([{"pages": 9, "total": 9 * n, "tokens": x} for n, x in by.items()])
+    assert len(t.root) == 5 and not t.nested and len(t.texts) == 3 and t.content() == []
+    more = [{**c, "total": 18} if any(x["token"].split(" ")[1:2] == ["section"] for x in c["tokens"]) else c for c in [{"pages": 9, "total": 9, "tokens": [x]} for v in by.values() for x in v]]
+    t = html_extract.Template(more)  # as if the sections were repeated
+    assert len(t.root) == 3 and [t.name[p] for v in t.nested.values() for p in v] == ["section"] * 2 and t.name[next(iter(t.nested))] == "div"

@@ -1,21 +1,27 @@
 """Main text of web pages by deduction of templates from equivalence classes.
 
-A page is a sequence of tokens: tags and blocks of text, with the path of elements that they stand in.  A token's
-occurrence vector tells how often it occurs in each page of a host; tokens with the same vector form an
+A page is a sequence of tokens: tags and blocks of text, told apart by the path of elements that they stand in.  A
+token's occurrence vector tells how often it occurs in each page of a host; tokens with the same vector form an
 equivalence class.  The vector is carried as its sum and the XOR of a hash of (page, count), so it is gathered
-by partial sums and no host's pages ever meet in one task.  Classes that occur in most of a host's pages are
-valid and make the template; those that occur once a page are its root.  The root elements that are not page
-furniture and hold the article, or else most of the pages' text, are the content.  What lies between template
-tokens are slots: blocks of text in the content that are template tokens themselves, such as a notice in every
-article, go, and the rest is the main text.  A block needs SUPPORT pages for that, as a few pages can share a
-sentence; a page whose content is template text throughout, as a copy among copies, keeps it.
+by partial sums and no host's pages ever meet in one task.  Classes that occur in most of a host's pages are valid.
+The elements of valid classes that occur once a page are the template's root; classes that occur more often are
+nested in the root element around them.  What lies between template tokens are the slots, and an element's slot
+text is what it holds in all pages but for blocks of text that are template tokens themselves, such as a notice in
+every article.  The content is the root's article (or main) elements with slot text, else the innermost root element
+with most of the slot text.  The main text is the text of the slots in the content, block by block.
 
-Hosts of a single page, and pages without the host's content element, are read by the same rules with the page
-as its own template.
+Page furniture is never content: elements made for it (nav, footer, form ...), and those whose class, id or role is
+made of words for it throughout ("ad-box", but not "search-results-explained").  A block needs SUPPORT pages to be a
+template token, as a few pages can share a sentence; a page whose content is template text throughout, as a copy
+among copies, keeps it.  Hosts of a single page, and pages without the host's content element, are read by the same
+rules with the page as its own template.
+
+Pages are read by one scan forward, linear in their length whatever is broken in them.
 
 Defined results: null and empty pages have an empty text; a null url counts as a host of its own; pages that
 are repeated are extracted each; broken markup is read on: an end tag without a start is skipped, elements that
-are not closed end with the element around them; an empty table gives an empty result.
+are not closed end with the element around them, a tag that never ends is text, one whose quote takes the rest of
+the page ends the page; columns of any names stay apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, table, written
+from .common import forget, join_small, table, written
 
 #: A class is valid if it occurs in this share of a host's pages, and in two pages.
 VALID_SHARE = 0.5
@@ -41,7 +47,8 @@ TEXT_TOKEN = 40
 #: Without an article element: the innermost root element with this share of the host's text is the content.
 CONTENT_SHARE = 0.8
 
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "math", "canvas", "video", "audio"}
+#: Elements whose content is no text of the page.
+RAW = {"script", "style", "template", "svg", "iframe", "object", "select", "textarea", "canvas", "video", "audio"}
 FURNITURE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "header"}
 CONTENT = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -57,9 +64,19 @@ MARKS = {
     "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted",
     "recommended", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Words that stand beside these in a mark and tell nothing.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "drawer", "form", "global", "group", "holder", "icons", "inner", "inline", "items", "item", "js",
+    "leaderboard", "left", "link", "links", "list", "main", "media", "mobile", "outer", "overlay", "page", "panel", "post", "posts", "primary", "rail", "right", "row", "secondary", "section", "site", "sticky", "slot", "text", "the",
+    "thread", "title", "top", "unit", "user", "wrap", "wrapper", "stories", "articles", "more", "us", "up", "policy", "alert", "message",
+}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile(r"[\"'>]")
+_DIGITS = re.compile(r"\d+")
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
 #: Marks that tell nothing of a table's cells or of a run of words.
 _PLAIN = {"header", "footer"}
 
@@ -70,85 +87,151 @@ def host_of(url):
 
 
 def _marks(attributes: str) -> dict[str, str]:
-    return {k.lower(): (a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-
-
-def _words(marks: dict[str, str]) -> set[str]:
-    return {w for v in marks.values() for w in _SPLIT.split(v)}
-
-
-def parse(page: str) -> Iterator[tuple[str, str, bool, object]]:
-    """(kind, path, furniture, value) in page order.  kind: "open" or "close" of an element on the path (value:
-    its name), "break" (a block's border), "text" (value: the raw text).  furniture: inside page furniture."""
-    path: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, furniture
-    soft: list[tuple[str, int, bool]] = []  # open elements that are not on the path: name, depth, furniture
-
-    def leave(names: set[str], depth: int) -> None:
-        for k, (n, d, _) in enumerate(soft):
-            if d == depth and n in names:
-                del soft[k:]
+    return {k.lower(): (a or b or c).strip() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
+
+
+def _is_furniture(marks: dict[str, str], plain: bool = False) -> bool:
+    """Whether one of an element's marks is made of words for page furniture, and neutral ones, throughout."""
+    for value in marks.values():
+        for mark in value.split():
+            words = [w for w in _SPLIT.split(_CAMEL.sub("-", mark).lower()) if w]
+            known = [w for w in words if w in MARKS and not (plain and w in _PLAIN)]
+            if known and all(w in MARKS or w in NEUTRAL for w in words):
+                return True
+    return False
+
+
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): kind "text" (rest: the raw text), "start" or "end" of an element (rest: its attributes);
+    comments, declarations and the content of RAW elements are left out."""
+    at, text_from, last, quotes = 0, 0, page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            break
+        c = page[at + 1 : at + 2]
+        if c in ("!", "?"):
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                end = stop + 3 if stop >= 0 else len(page)
+            elif page.startswith("<![CDATA[", at) and (stop := page.find("]]>", at)) >= 0:
+                end = stop + 3
+            else:
+                end = page.find(">", at) + 1
+            if at > text_from:
+                yield "text", "", page[text_from:at]
+            at = text_from = end
+            continue
+        closing = c == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        if not m:
+            at += 1
+            continue
+        end = m.end()
+        while True:  # to the > that is not in quotes
+            q = _QUOTE.search(page, end)
+            if not q:
+                end = len(page)
                 break
+            end = q.end()
+            if q[0] == ">":
+                break
+            if quotes[q[0]] >= end:
+                end = page.index(q[0], end) + 1
+        if at > text_from:
+            yield "text", "", page[text_from:at]
+        name, rest = m[0].lower(), page[m.end() : end - 1]
+        at = text_from = end
+        if name in RAW and not closing and not rest.endswith("/"):
+            stop = _RAW_END[name].search(page, at)
+            at = text_from = stop.end() if stop else len(page)
+        else:
+            yield "end" if closing else "start", name, rest
+    if text_from < len(page):
+        yield "text", "", page[text_from:]
+
+
+class _Element:
+    __slots__ = ("content", "counts", "furniture", "kids", "name", "path", "plain", "pre", "soft")
+
+    def __init__(self, name: str, path: str, plain: str, furniture: bool, content: bool, pre: bool):
+        self.name, self.path, self.plain, self.furniture, self.content, self.pre = name, path, plain, furniture, content, pre
+        self.kids: dict[str, int] = {}  # how many elements of a name with marks it has had
+        self.soft: list[tuple[str, bool]] = []  # open elements in it that are not on the path: name, furniture
+        self.counts: dict[str, int] = {}
+
+    def leave(self, names) -> None:
+        """Closes soft elements up to the outermost of these names."""
+        while any(self.counts.get(n) for n in names):
+            n, _ = self.soft.pop()
+            self.counts[n] -= 1
+
+    def leave_one(self, name: str) -> None:
+        while self.counts.get(name):
+            n, _ = self.soft.pop()
+            self.counts[n] -= 1
+            if n == name:
+                return
+
+    def enter(self, name: str, furniture: bool) -> None:
+        self.soft.append((name, furniture))
+        self.counts[name] = self.counts.get(name, 0) + 1
+
+    def hidden(self) -> bool:
+        return self.furniture or bool(self.soft and self.soft[-1][1])
 
-    def hidden() -> bool:
-        return path[-1][2] or bool(soft and soft[-1][2])
 
-    at = 0
-    raw: str | None = None
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            yield "text", path[-1][1], hidden(), page[at : m.start()]
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if name in RAW and not m[1] and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+def parse(page: str) -> Iterator[tuple[str, str, bool, object]]:
+    """(kind, path, furniture, value) in page order.  kind: "open" or "close" of an element on the path (value: its
+    name, its parent's path, its plain path), "break" (a block's border), "text" (value: the raw text).  path: a
+    name for the elements around, with their marks but for numbers in them, and their number among the same in the
+    element around (the plain path: without); furniture: inside page furniture."""
+    path, opened = [_Element("", "", "", False, False, False)], {}
+    for kind, name, rest in scan(page):
+        top = path[-1]
+        if kind == "text":
+            yield "text", top.path, top.hidden(), rest
             continue
+        closing = kind == "end"
         if name in LOOSE or (name in INLINE and name not in VOID):
-            if m[1]:
-                last = next((k for k in range(len(soft) - 1, -1, -1) if soft[k][:2] == (name, len(path))), None)
-                if last is not None:
-                    del soft[last:]
+            if closing:
+                top.leave_one(name)
             else:
                 if name in LOOSE:
-                    leave(ENDS.get(name, {name}), len(path))
-                within = bool(soft and soft[-1][2])
-                code = name in INLINE and any(p[0] == "pre" for p in path)  # words of colour
-                bad = within or bool(m[3] and not code and (_words(_marks(m[3])) - _PLAIN) & MARKS)
+                    top.leave(ENDS.get(name, {name}))
+                within = bool(top.soft and top.soft[-1][1])
+                bad = within or bool(rest and not (name in INLINE and top.pre) and _is_furniture(_marks(rest), plain=True))
                 if name in LOOSE or bad:
-                    soft.append((name, len(path), bad))
-        if name in INLINE or name in RAW:
+                    top.enter(name, bad)
+        if name in INLINE:
             continue
         if name in VOID or name in LOOSE:
-            yield "break", path[-1][1], path[-1][2], name
+            yield "break", top.path, top.furniture, name
             continue
-        if m[1]:
-            found = next((k for k in range(len(path) - 1, 0, -1) if path[k][0] == name), 0)
-            if found:
-                for k in range(len(path) - 1, found - 1, -1):
-                    yield "close", path[k][1], path[k][2], path[k][0]
-                del path[found:]
-                soft[:] = [x for x in soft if x[1] <= len(path)]
-            else:
-                yield "break", path[-1][1], path[-1][2], name
+        if closing:
+            if not opened.get(name):
+                yield "break", top.path, top.furniture, name
+                continue
+            while True:
+                e = path.pop()
+                opened[e.name] -= 1
+                yield "close", e.path, e.furniture, (e.name, path[-1].path, e.plain)
+                if e.name == name:
+                    break
             continue
-        leave({"p"}, len(path))
-        marks = _marks(m[3])
-        words = _words(marks)
-        own = name + "".join(f".{k}={v}" for k, v in sorted(marks.items()))
-        within = path[-1][1].split("/")
-        inside = any(p.split(".")[0] in CONTENT for p in within)
-        bad = hidden() or (name in FURNITURE and not (name == "header" and inside)) or (name not in CONTENT and name not in ("html", "body") and bool(words & MARKS) and not re.fullmatch("h[1-6]", name))
-        path.append((name, f"{path[-1][1]}/{own}", bad))
-        yield "open", path[-1][1], bad, name
-        if m[3].endswith("/"):
-            yield "close", path[-1][1], bad, name
-            path.pop()
-    if at < len(page):
-        yield "text", path[-1][1], hidden(), page[at:]
+        top.leave({"p"})
+        marks = _marks(rest)
+        own = name + "".join(f".{k}={_DIGITS.sub('#', v.lower())}" for k, v in sorted(marks.items()))
+        hidden = top.hidden() or (name in FURNITURE and not (name == "header" and top.content))
+        bad = hidden or (name not in CONTENT and name not in ("html", "body") and bool(marks) and _is_furniture(marks) and not re.fullmatch("h[1-6]", name))
+        top.kids[own] = k = top.kids.get(own, 0) + 1
+        e = _Element(name, xxhash.xxh3_64_hexdigest(f"{top.path}/{own}/{k}"), xxhash.xxh3_64_hexdigest(f"{top.plain}/{own}"), bad, top.content or name in CONTENT, top.pre or name == "pre")
+        yield "open", e.path, bad, (name, top.path, e.plain)
+        if rest.endswith("/"):
+            yield "close", e.path, bad, (name, top.path, e.plain)
+        else:
+            path.append(e)
+            opened[name] = opened.get(name, 0) + 1
 
 
 def blocks_of(events) -> Iterator[tuple[str, str]]:
@@ -170,40 +253,54 @@ def block_token(path: str, text: str) -> str:
     return f"t{path}|{text}" if len(text) <= TEXT_TOKEN else f"h{path}|{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
 
 
-def occurrences(page: str | None) -> tuple[dict[str, int], dict[str, int]]:
-    """How often each token occurs, and how much text that is not furniture each element holds itself."""
-    count: dict[str, int] = {}
-    mass: dict[str, int] = {}
+def occurrences(page: str | None) -> dict[str, list[int]]:
+    """token -> how often it occurs, and the text in it: of an element what it holds itself outside of furniture, of
+    a block its length.  Tokens: "<path name parent plain" and ">path" for elements, "-path name" for borders,
+    texts by plain path."""
+    count: dict[str, list[int]] = {}
+    own: dict[str, int] = {}
+    names: dict[str, str] = {}
+    plain = {"": ""}
     events = list(parse(page or ""))
+
+    def put(token: str, size: int = 0) -> None:
+        c = count.setdefault(token, [0, 0])
+        c[0] += 1
+        c[1] += size
+
     for kind, path, bad, value in events:
-        if kind == "text":
-            size = len(value.strip())
-            if size and not bad:
-                mass[path] = mass.get(path, 0) + size
-            continue
-        token = {"open": "<", "close": ">", "break": "-"}[kind] + path + ("|" + value if kind == "break" else "")
-        count[token] = count.get(token, 0) + 1
+        if kind == "open":
+            # an element that is furniture can be no content
+            names[path] = token = f"<{path} {'-' if bad else value[0]} {value[1]} {value[2]}"
+            plain[path] = value[2]
+            put(token)
+        elif kind == "close":
+            put(">" + path)
+        elif kind == "break":
+            put(f"-{path} {value}")
     for path, text in blocks_of(events):
-        token = block_token(path, text)
-        count[token] = count.get(token, 0) + 1
-    return count, mass
+        put(block_token(plain[path], text), len(text))
+        own[path] = own.get(path, 0) + len(text)
+    for path, size in own.items():
+        if path in names:
+            count[names[path]][1] += size
+    return count
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
     """host, token, pages, total, vector, mass: pages with the token, its occurrences, the XOR of hashes of (page,
-    count); for an element's start also the text that it holds itself."""
+    count), and the text that it holds itself in all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple, list[int]] = {}
             for host, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                count, mass = occurrences(text)
-                for token, n in count.items():
+                for token, (n, size) in occurrences(text).items():
                     s = sums.setdefault((host, token), [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
                     s[2] ^= xxhash.xxh3_64_intdigest(f"{page}:{n}".encode()) - (1 << 63)
-                    s[3] += mass.get(token[1:], 0) if token[0] == "<" else 0
+                    s[3] += size
             cols = [[k[0] for k in sums], [k[1] for k in sums], *([s[j] for s in sums.values()] for j in range(4))]
             kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "token", "pages", "total", "vector", "mass"])
@@ -212,6 +309,67 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total")], F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass"))
 
 
+class Template:
+    """The nested classes of a host's pages.  classes: (pages, total, tokens); a token: its name and its mass."""
+
+    def __init__(self, classes, support: int = SUPPORT):
+        self.parent: dict[str, str] = {}  # of every template element, and its name
+        self.name: dict[str, str] = {}
+        self.root: set[str] = set()  # elements that occur once a page
+        self.nested: dict[str, list[str]] = {}  # root element -> elements of classes that repeat in it
+        self.slot: dict[str, int] = {}  # text that an element holds itself in slots
+        self.texts: list[str] = []  # blocks that are template tokens
+        fixed: dict[str, int] = {}
+        plain: dict[str, str] = {}
+        for c in classes:
+            for t in c["tokens"]:
+                kind, rest = t["token"][0], t["token"][1:]
+                if kind == "<":
+                    path, name, parent, plain[path] = rest.split(" ")
+                    self.parent[path], self.name[path], self.slot[path] = parent, name, t["mass"]
+                    if c["pages"] == c["total"]:
+                        self.root.add(path)
+                elif kind in "th" and c["pages"] >= support:
+                    self.texts.append(t["token"])
+                    path = rest.partition("|")[0]
+                    fixed[path] = fixed.get(path, 0) + t["mass"]
+        for path, size in self.slot.items():
+            less = min(size, fixed.get(plain[path], 0))
+            if less:
+                self.slot[path] -= less
+                fixed[plain[path]] -= less
+        for path in self.parent.keys() - self.root:
+            self.nested.setdefault(self.around(path), []).append(path)
+
+    def around(self, path: str) -> str:
+        """The innermost root element at or around an element."""
+        while path in self.parent and path not in self.root:
+            path = self.parent[path]
+        return path if path in self.root else ""
+
+    def content(self) -> list[str]:
+        """The root elements whose slots are the main text."""
+        depth: dict[str, int] = {}
+        for path in self.parent:
+            chain = []
+            while path in self.parent and path not in depth:
+                chain.append(path)
+                path = self.parent[path]
+            for p in reversed(chain):
+                depth[p] = depth.get(self.parent[p], 0) + 1
+        held = dict(self.slot)
+        for p in sorted(held, key=depth.__getitem__, reverse=True):
+            if self.parent[p] in held:
+                held[self.parent[p]] += held[p]
+        good = [p for p in self.root if held.get(p, 0) > 0 and self.name[p] != "-"]
+        for wanted in ("article", "main"):
+            if found := sorted(p for p in good if self.name[p] == wanted):
+                return found
+        whole = sum(self.slot.values())
+        full = [p for p in good if held[p] >= CONTENT_SHARE * whole]
+        return [max(full, key=lambda p: (depth[p], p))] if full else []
+
+
 def templates(pages: DataFrame, share: float = VALID_SHARE) -> DataFrame:
     """host, host_pages, content (paths of the content elements), template (blocks of text of valid classes)."""
     vectors = written(token_vectors(pages), "html-vectors")
@@ -223,61 +381,39 @@ def templates(pages: DataFrame, share: float = VALID_SHARE) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pdf = pdf.assign(content=[content_paths(c) for c in pdf["classes"]], template=[[t["token"] for k in c if k["pages"] >= SUPPORT for t in k["tokens"] if t["token"][0] in "th"] for c in pdf["classes"]])
+            found = [Template(c) for c in pdf["classes"]]
+            pdf = pdf.assign(content=[t.content() for t in found], template=[t.texts for t in found])
             yield pdf[["host", "host_pages", "content", "template"]]
 
-    return hosts.mapInPandas(run, "host string, host_pages long, content array<string>, template array<string>")
-
-
-def content_paths(classes) -> list[str]:
-    """The content elements of a template.  Classes that occur once a page are its root."""
-    mass: dict[str, int] = {}
-    root: set[str] = set()
-    for c in classes:
-        for t in c["tokens"]:
-            if t["token"][0] == "<":
-                mass[t["token"][1:]] = t["mass"]
-                if c["pages"] == c["total"]:
-                    root.add(t["token"][1:])
-    return _content(root, mass)
-
-
-def _content(root: set[str], mass: dict[str, int]) -> list[str]:
-    named = [p for p in root if p.rsplit("/", 1)[-1].split(".")[0] in CONTENT]
-    held = lambda p: sum(n for q, n in mass.items() if q == p or q.startswith(p + "/"))
-    articles = [p for p in named if p.rsplit("/", 1)[-1].split(".")[0] == "article" and held(p)]
-    if found := articles or [p for p in named if held(p)]:
-        return sorted(found)
-    whole = sum(mass.values())
-    full = [p for p in root if whole and held(p) >= CONTENT_SHARE * whole]
-    return [max(full, key=lambda p: (p.count("/"), p))] if full else []
+    out = written(hosts.mapInPandas(run, "host string, host_pages long, content array<string>, template array<string>"), "html-templates")
+    forget(pages.sparkSession, vectors)
+    return out
 
 
 def main_text(page: str | None, content: list[str] | None, template: list[str] | None = None) -> str:
-    """The text of a page's content elements, block by block, without the template's blocks."""
+    """The text of the slots in a page's content elements, block by block."""
     if not page:
         return ""
     events = list(parse(page))
-    own = {p for kind, p, _, _ in events if kind == "open"}
-    wanted = [p for p in content or () if p in own]
+    opened = {path: value for kind, path, _, value in events if kind == "open"}
+    parent, plain = {p: v[1] for p, v in opened.items()}, {"": ""} | {p: v[2] for p, v in opened.items()}
+    wanted = {p for p in content or () if p in parent}
     if not wanted:  # the page as its own template
-        mass: dict[str, int] = {}
-        for kind, p, bad, value in events:
-            if kind == "text" and not bad:
-                mass[p] = mass.get(p, 0) + len(value.strip())
-        wanted = _content({p for p in own}, mass) or ["/html/body", ""]
-        wanted = [next((p for p in wanted if p in own or not p), "")] if wanted == ["/html/body", ""] else wanted
-    inside = {p: any(p == w or p.startswith(w + "/") or not w for w in wanted) for p in {p for _, p, _, _ in events}}
+        tokens = [{"token": t, "mass": mass} for t, (_, mass) in occurrences(page).items() if t[0] == "<"]
+        wanted = set(Template([{"pages": 1, "total": 1, "tokens": tokens}]).content()) or {""}
+    inside = {"": "" in wanted}
+    for p in parent:  # elements come after those around them
+        inside[p] = p in wanted or inside[parent[p]]
     blocks = [(p, t) for p, t in blocks_of(events) if inside[p]]
     known = set(template or ())
-    own_text = [t for p, t in blocks if block_token(p, t) not in known] if known else []
+    own_text = [t for p, t in blocks if block_token(plain[p], t) not in known] if known else []
     return "\n".join(own_text or [t for _, t in blocks])
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", share: float = VALID_SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
     d = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    known = written(templates(d, share).select("host", "content", "template"), "html-templates")
+    known = templates(d, share).select("host", "content", "template")
     kind = pages.schema[page].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
