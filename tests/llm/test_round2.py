@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import brute_components, docs, near_copies  # noqa: F401
-from tidemark.llm import common, graph, html_extract, jaccard_join, mixing, words
+from tidemark.llm import ann, common, graph, html_extract, jaccard_join, mixing, words
 
 
 # ---- shared parts ------------------------------------------------------------------------------------
@@ -148,3 +148,25 @@ def test_classes_are_nested_in_the_root():
     more = [{**c, "total": 18} if any(x["token"].split(" ")[1:2] == ["section"] for x in c["tokens"]) else c for c in [{"pages": 9, "total": 9, "tokens": [x]} for v in by.values() for x in v]]
     t = html_extract.Template(more)  # as if the sections were repeated
     assert len(t.root) == 3 and [t.name[p] for v in t.nested.values() for p in v] == ["section"] * 2 and t.name[next(iter(t.nested))] == "div"
+
+
+# ---- 5 nearest neighbours --------------------------------------------------------------------------------
+
+
+def test_hot_leaves_and_many_parts(spark, monkeypatch):
+    """Most vectors in one leaf, several units of it, several blocks of queries; clashing columns."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ann, "HELD_PAIRS", 500)
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(size=(300, 6)), np.array([3.0, 0, 0, 0, 0, 0]) + 1e-3 * r.normal(size=(300, 6))]).astype(np.float32)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").withColumn("leaf", F.lit(1)).withColumn("part", F.lit(1)).withColumn("q", F.lit(1))
+    got = ann.search(d, F.pmod("id", F.lit(20)) == 0).toPandas()
+    w, hit = v.astype(float), 0
+    for q, rows in got.groupby("query_id"):
+        s = w @ w[q]
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(len(s)), -s))[:20]) & set(rows["vec_id"]))
+        assert list(rows.sort_values("rank")["rank"]) == list(range(1, 21)) and np.allclose(rows["score"], s[rows["vec_id"]], rtol=1e-12)
+        assert rows.sort_values("rank")["score"].is_monotonic_decreasing
+    assert got["query_id"].nunique() == 30 and hit / 600 >= 0.9

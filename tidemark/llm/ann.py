@@ -3,8 +3,13 @@
 The tree is fitted on a bounded sample; every vector is put into the leaf that it descends to.  A query visits
 leaves best bin first: a priority queue holds nodes by the query's inner product with their centroids.  How
 many leaves are visited is widened until queries of a calibration set, whose true neighbours are found against
-all rows, have reached the wanted recall.  Queries and vectors then meet by leaf, in blocks of bounded size, and
-the lists of a query's leaves are merged.
+all rows, have reached the wanted recall.
+
+Leaves are small, as that is what tells near from far; they are dealt to parts of bounded size, a leaf of many
+vectors to several.  A query goes once to each part that holds leaves that it visits, with their numbers, and is
+compared with those leaves only; the lists of its parts are merged.  Leaves grow with the table once it has more
+vectors than the sample; on data without clusters the share of vectors that is visited falls slowly with their
+number, so that the work grows nearly with the square of the table.
 
 Equal vectors are indexed once, with their smallest ids (as many as can be asked for), and equal queries are
 searched once, so a vector that many rows share costs as much as any other.
@@ -29,10 +34,14 @@ from .common import table, written
 
 #: The most vectors that the tree is fitted on, and the most numbers in them.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
-BRANCHES, LEAF_ROWS, ROUNDS = 16, 64, 8
+BRANCHES, LEAF_ROWS, ROUNDS = 16, 16, 8
+#: More than the units of a leaf.
+UNITS = 1 << 32
 CALIBRATION_QUERIES, WANTED_RECALL = 200, 0.95
 #: The most vectors and queries that meet in one group.
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 2_048
+BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
+#: Pairs that a group holds before it keeps the best only.
+HELD_PAIRS = 400_000
 
 
 class Tree:
@@ -119,6 +128,41 @@ def _top(scores: np.ndarray, ids: list, k: int) -> tuple[list[float], list[int]]
     return [-s for s, _ in found], [i for _, i in found]
 
 
+def best_pairs(q: np.ndarray, v: np.ndarray, visits: dict[int, np.ndarray], unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best vectors, ties with the k-th included, sorted by query.  visits:
+    the queries that visit a unit; unit: the unit of each vector, sorted.  A pair's score does not depend on what
+    else is compared with it."""
+    least, held, size = np.full(len(q), -np.inf), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+
+    def best() -> None:
+        nonlocal held, size
+        a, b, s = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, -s, a))
+        a, b, s = a[order], b[order], s[order]
+        start = np.flatnonzero(np.diff(a, prepend=-1))
+        count = np.diff(np.append(start, len(a)))
+        place = np.arange(len(a)) - np.repeat(start, count)
+        full = count >= k
+        least[a[start[full]]] = s[start[full] + k - 1]
+        keep = (place < k) | (s >= least[a])
+        held, size = [(a[keep], b[keep], s[keep])], int(keep.sum())
+
+    edge = np.flatnonzero(np.diff(unit, prepend=-1))
+    for x, y in zip(edge, np.append(edge[1:], len(unit))):
+        own = visits.get(int(unit[x]))
+        if own is None:
+            continue
+        # rounding may move a score by a little: what is near the least is looked at exactly
+        i, j = np.nonzero(q[own] @ v[x:y].T >= least[own][:, None] - 1e-9 * (1 + np.abs(least[own][:, None])))
+        i, j = own[i], j + x
+        held.append((i, j, (q[i] * v[j]).sum(1)))
+        size += len(i)
+        if size > HELD_PAIRS:
+            best()
+    best()
+    return held[0]
+
+
 _FOUND = "scores array<double>, ids array<bigint>"
 
 
@@ -157,28 +201,49 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec: str = "vec_id", embed
 
     visits = calibrated(index, asked, tree, k, recall)
 
-    def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # a leaf's vectors are cut into units by hash, units are dealt to parts; queries are cut by hash, too
+    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row per leaf of the tree
+    units = {leaf: -(-n // BLOCK_ROWS) for leaf, n in counts.items()}
+    n_parts = -(-sum(counts.values()) // BLOCK_ROWS)
+    n_blocks = -(-asked.count() // BLOCK_QUERIES) or 1
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
-            leaves = [tree.value.visits(q, visits) for q in _matrix(d["v"])] if len(d) else []
-            yield pd.DataFrame({"q1": [x["q1"] for x in d["q"]], "q2": [x["q2"] for x in d["q"]], "v": d["v"], "leaves": leaves})
-
-    routed = asked.mapInPandas(route, f"q1 long, q2 long, v {kind}, leaves array<bigint>").withColumn("leaf", F.explode("leaves")).drop("leaves")
-    routed = written(routed, "ann-routed")
-    # both sides in blocks: a leaf's vectors are cut by hash, as are its queries; a row per leaf
-    n_rows = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    n_asked = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
-    cuts = spark.createDataFrame([(leaf, -(-n // BLOCK_ROWS), -(-n_asked.get(leaf, 0) // BLOCK_QUERIES) or 1) for leaf, n in n_rows.items()], "leaf long, nv int, nq int")
-    left = routed.join(F.broadcast(cuts), "leaf").withColumn("bq", F.pmod("q1", "nq").cast("int")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    right = index.join(F.broadcast(cuts), "leaf").withColumn("bv", F.pmod(F.xxhash64("v"), "nv").cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+            out = [(q["q1"], q["q2"], v, part, own) for q, v in zip(d["q"], d["v"]) for part, own in route(v).items()]
+            yield pd.DataFrame(out, columns=["q1", "q2", "v", "part", "units"])
+
+    def route(v) -> dict[int, list[int]]:
+        """part -> the units in it that a query visits."""
+        out: dict[int, list[int]] = {}
+        for leaf in tree.value.visits(np.asarray(v, np.float64), visits):
+            for u in range(units.get(leaf, 0)):
+                out.setdefault((leaf + u) % n_parts, []).append(leaf * UNITS + u)
+        return out
+
+    routed = asked.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "q").mapInPandas(dealt, f"q1 long, q2 long, v {kind}, part long, units array<bigint>")
+    left = routed.withColumn("bq", F.pmod("q1", F.lit(n_blocks)).cast("int"))
+    small = spark.createDataFrame([(leaf, n) for leaf, n in units.items()], "leaf long, nv int")
+    right = index.join(F.broadcast(small), "leaf").withColumn("u", F.pmod(F.xxhash64("v"), "nv")).withColumn("part", F.pmod(F.col("leaf") + F.col("u"), F.lit(n_parts)))
+    right = right.withColumn("unit", F.col("leaf") * UNITS + F.col("u")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["q1", "q2", "scores", "ids"])
-        found = [_top(s, b["ids"].tolist(), k + 1) for s in _matrix(a["v"]) @ _matrix(b["v"]).T]
-        return pd.DataFrame({"q1": a["q1"], "q2": a["q2"], "scores": [f[0] for f in found], "ids": [f[1] for f in found]})
-
-    block = ["leaf", "bv", "bq"]
-    met = left.select(*block, "q1", "q2", "v").groupBy(*block).cogroup(right.select(*block, "v", "ids").groupBy(*block)).applyInPandas(meet, f"q1 long, q2 long, {_FOUND}")
+        b = b.sort_values("unit", ignore_index=True)
+        flat = np.concatenate([np.asarray(u, np.int64) for u in a["units"]])
+        query = np.repeat(np.arange(len(a)), a["units"].map(len).to_numpy())
+        order = np.argsort(flat, kind="stable")
+        edge = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        visiting = {int(flat[order[x]]): query[order[x:y]] for x, y in zip(edge, np.append(edge[1:], len(flat)))}
+        i, j, score = best_pairs(_matrix(a["v"]), _matrix(b["v"]), visiting, b["unit"].to_numpy(), k + 1)
+        ids, out = b["ids"].tolist(), []
+        edge = np.flatnonzero(np.diff(i, prepend=-1))
+        for x, y in zip(edge, np.append(edge[1:], len(i))):
+            out.append((a["q1"].iat[i[x]], a["q2"].iat[i[x]], *_top(score[x:y], [ids[t] for t in j[x:y]], k + 1)))
+        return pd.DataFrame(out, columns=["q1", "q2", "scores", "ids"])
+
+    group = ["part", "bq"]
+    met = left.select(*group, "q1", "q2", "v", "units").groupBy(*group).cogroup(right.select(*group, "unit", "v", "ids").groupBy(*group)).applyInPandas(meet, f"q1 long, q2 long, {_FOUND}")
     top = merge_lists(met.withColumn("q", F.struct("q1", "q2")), "q", k + 1)
     out = queries.select(F.col("id").alias("query_id"), F.struct(F.xxhash64("v", F.lit(1)).alias("q1"), F.xxhash64("v", F.lit(2)).alias("q2")).alias("q")).join(top, "q")
     kept = F.slice(F.filter("top", lambda x: x["id"] != F.col("query_id")), 1, k)
