@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import brute_components, docs, near_copies  # noqa: F401
-from tidemark.llm import ann, common, graph, html_extract, jaccard_join, mixing, words
+from tidemark.llm import ann, bpe, chat_format, common, graph, html_extract, jaccard_join, lm_score, mixing, suffix_dedup, toxicity, words
 
 
 # ---- shared parts ------------------------------------------------------------------------------------
@@ -170,3 +170,88 @@ def test_hot_leaves_and_many_parts(spark, monkeypatch):
         assert list(rows.sort_values("rank")["rank"]) == list(range(1, 21)) and np.allclose(rows["score"], s[rows["vec_id"]], rtol=1e-12)
         assert rows.sort_values("rank")["score"].is_monotonic_decreasing
     assert got["query_id"].nunique() == 30 and hit / 600 >= 0.9
+
+
+# ---- clashing columns, empty tables, ties ----------------------------------------------------------------
+
+
+def clashing(d):
+    for c in ("score", "id", "row", "host", "u", "tie", "place", "part", "size", "target", "copies", "n_words", "ids", "__id", "__t"):
+        d = d.withColumn(c, F.lit("x"))
+    return d
+
+
+def test_operators_beside_columns_of_any_name(docs):  # noqa: F811
+    text = " ".join(f"w{k}" for k in range(70))
+    d = docs([(1, text + " a", "a"), (2, text + " b", "a"), (3, None, None)])
+    c = clashing(d)
+    labels = d.select("doc_id", F.lit(1).alias("toxic"), F.lit(2).alias("score"), F.lit(3).alias("text"))
+    model = toxicity.fit(c, labels)
+    scored = toxicity.score(c, model, name="toxic_score")
+    assert scored.columns == [*c.columns, "toxic_score"] and {r["score"] for r in scored.collect()} == {"x"}
+    same = lambda f: sorted(map(str, f(d).collect())) == sorted(map(str, f(c).collect()))
+    assert same(lambda x: lm_score.lm_scores(x)) and same(lambda x: bpe.encode(x, bpe.default_path(), digest=True)) and same(lambda x: mixing.mix(x))
+    assert same(lambda x: suffix_dedup.repeated_passages(x))
+    cut = suffix_dedup.remove_passages(c)
+    assert cut.columns == c.columns and {r["row"] for r in cut.collect()} == {"x"}
+    turns = d.select(F.col("doc_id").alias("pair_id"), F.lit(True).alias("chosen"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    assert sorted(map(str, chat_format.format_pairs(turns).collect())) == sorted(map(str, chat_format.format_pairs(clashing(turns)).collect()))
+
+
+def test_empty_tables(docs, spark):  # noqa: F811
+    none = docs([])
+    labels = none.select("doc_id", F.lit(1).alias("toxic"))
+    model = toxicity.fit(none, labels)
+    assert toxicity.score(none, model).count() == 0 and toxicity.score(docs([(1, "a", "s")]), model).first()["score"] < 0.01
+    turns = spark.createDataFrame([], "pair_id long, chosen boolean, turn long, role string, text string")
+    assert chat_format.format_pairs(turns).count() == 0
+
+
+def test_long_conversations(spark):
+    long = "word " * 200_000
+    turns = [(0, side, t, ("user", "assistant")[t % 2], long if t < 2 else f"{side} {t}") for side in (True, False) for t in range(4)]
+    r = chat_format.format_pairs(spark.createDataFrame(turns, "pair_id long, chosen boolean, turn long, role string, text string")).first()
+    assert r["n_prompt_turns"] == 2 and len(r["prompt"]) > 2_000_000 and r["chosen"] != r["rejected"]
+
+
+# ---- 7 toxicity --------------------------------------------------------------------------------------------
+
+
+def plain_ftrl(texts, labels):
+    """FTRL-proximal, one coordinate after another, on dictionaries."""
+    z, n, xs = {}, {}, [[-1, *toxicity.features(t).tolist()] for t in texts]
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        l1, l2 = (0.0, 0.0) if i == -1 else (toxicity.L1, toxicity.L2)  # the bias is free
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - (l1 if zi > 0 else -l1)) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + l2)
+
+    order = np.arange(len(xs))
+    for epoch in range(toxicity.EPOCHS):
+        np.random.default_rng(epoch).shuffle(order)
+        for k in order:
+            p = 1 / (1 + np.exp(-sum(weight(i) for i in xs[k])))
+            g = p - labels[k]
+            steps = [(i, ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA, weight(i)) for i in xs[k]]
+            for i, s, w in steps:
+                z[i] = z.get(i, 0.0) + g - s * w
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_weights_against_plain_ftrl():
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(12)) + (" vile" if k % 3 == 0 else "") for k in range(150)]
+    labels = [int(k % 3 == 0) for k in range(150)]
+    at, w, b = toxicity.train(texts, labels)
+    want = plain_ftrl(texts, labels)
+    assert abs(want.pop(-1) - b) < 1e-9 and set(at.tolist()) == set(want) and all(abs(want[i] - x) < 1e-9 for i, x in zip(at.tolist(), w))
+
+
+def test_one_id_with_two_texts_learns_the_same_each_time(docs):  # noqa: F811
+    rows = [(k % 40, f"w{k % 7} {'vile' if k % 40 % 2 else 'kind'} {k}", "s") for k in range(80)]
+    labels = docs(rows).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+    one, two = toxicity.fit(docs(rows), labels), toxicity.fit(docs(rows[::-1]).repartition(3), labels)
+    assert one[0].tolist() == two[0].tolist() and one[2] == two[2]

@@ -101,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     """Learns from at most `rows` labelled documents outside the held-out fifth, in one task."""
     ids = labels.select(F.col(doc).alias("__id"), F.col(label).alias("__y")).where("__id is not null and __y is not null").where(remainder("__id") != 0)
     ids = ids.groupBy("__id").agg(F.max("__y").cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    d = docs.select(F.col(doc).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(ids), "__id").dropDuplicates(["__id"])  # at most `rows` ids
+    d = docs.select(F.col(doc).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(ids), "__id")  # at most `rows` ids
+    d = d.groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         serve("toxicity")
@@ -115,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     return own["at"].to_numpy(), own["w"].to_numpy(), float(got.loc[got["at"] < 0, "w"].iloc[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """Adds score to docs."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
+    """Adds a column of scores to docs; in place of one of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -127,7 +128,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         for s in parts:
             yield pa.array([1 / (1 + math.exp(-max(-35.0, min(35.0, float(dense[features(t.as_py())].sum()) + b)))) for t in s], pa.float64())
 
-    return docs.withColumn("score", F.arrow_udf(run, "double")(F.col(text)))
+    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text)))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
