@@ -31,7 +31,7 @@ def _small_batches(spark: SparkSession) -> None:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, name="__score").where(F.col("__score") < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
