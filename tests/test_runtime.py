@@ -4,16 +4,17 @@ import json
 import time
 
 import pytest
+from pyspark.sql import DataFrame
 
 from tidemark.errors import Cancelled, DuplicateName, OperatorError
 from tidemark.progress import Antichain, MutableAntichain, Summary, less_equal
-from tidemark.runtime import CancellationToken, Engine, Outputs, SpawnOptions, to_dot
+from tidemark.runtime import CancellationToken, Engine, Flow, SpawnOptions, to_dot
 from tidemark.sources import from_epochs
 
 
 def test_spawn_join_metrics(spark):
     e = Engine(spark)
-    run = e.spawn("count", from_epochs(spark, [(0, [1, 2])]).count(), SpawnOptions(priority="high"))
+    run = e.spawn("count", from_epochs(spark, [(0, [1, 2])]).count(), SpawnOptions(priority="high"), DataFrame.collect)
     assert [tuple(r) for r in run.join(60)] == [(0, 2)]
     assert run.probe.is_done() and run.probe.done_with(10) and run.probe.frontier() is None
     assert e.metrics.seconds()["count"] > 0 and json.loads(e.metrics.chrome_trace())["traceEvents"]
@@ -55,7 +56,7 @@ def test_antichains():
 
 
 def test_outputs_and_dot(spark):
-    o, f = Outputs(), from_epochs(spark, [(0, [1])])
+    o, f = Flow(spark), from_epochs(spark, [(0, [1])])
     o.output("a", f)
     with pytest.raises(DuplicateName):
         o.output("a", f)

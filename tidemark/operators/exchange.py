@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import enum
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 
-#: A lookup side is broadcast only if it was counted and has no more rows than this.
-LOOKUP_ROWS = 1_000_000
+#: A lookup side is broadcast only if its counted rows times their width come to no more bytes than this.
+LOOKUP_BYTES = 64 << 20
 
 
 def _parallelism(df: DataFrame, to: int | None) -> int:
@@ -45,7 +46,39 @@ def broadcast_copy(df: DataFrame, n: int, name: str = "worker") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def lookup(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", most: int = LOOKUP_ROWS) -> DataFrame:
-    """Joins a lookup table: sent to all tasks if its counted rows allow it, else shuffled by the optimizer's choice."""
-    few = small.limit(most + 1).count() <= most
-    return df.join(F.broadcast(small) if few else small, list(on), how)
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about: strings and binaries as long as they are, 16 for any other column."""
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16 if f.dataType.typeName() not in ("array", "map", "struct") else 1024) for f in df.schema]
+    out = F.lit(16)
+    for s in sizes:
+        out = out + s
+    return out
+
+
+def lookup(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", most: int = LOOKUP_BYTES) -> DataFrame:
+    """Joins a lookup table: sent to all tasks if its measured bytes allow it, else shuffled by the optimizer's
+    choice."""
+    size = small.agg(F.sum(_width(small)).alias("bytes")).first()["bytes"] or 0
+    return df.join(F.broadcast(small) if size <= most else small, list(on), how)
+
+
+class PartitionStrategy(enum.Enum):
+    """How rows are dealt to the next stage's tasks."""
+
+    PIPELINE = "pipeline"  # as they are
+    EXCHANGE = "exchange"  # by keys
+    REBALANCE = "rebalance"
+    GATHER = "gather"
+    BROADCAST = "broadcast"  # each row once a task
+
+
+def partitioned(df: DataFrame, strategy: PartitionStrategy, keys: Sequence[Column] = (), to: int | None = None) -> DataFrame:
+    if (strategy is PartitionStrategy.EXCHANGE) != bool(keys):
+        raise ConfigError("an exchange, and only that, needs keys")
+    if strategy is PartitionStrategy.EXCHANGE:
+        return exchange(df, keys, to)
+    if strategy is PartitionStrategy.REBALANCE:
+        return rebalance(df, to)
+    if strategy is PartitionStrategy.GATHER:
+        return gather(df)
+    return broadcast_copy(df, _parallelism(df, to)) if strategy is PartitionStrategy.BROADCAST else df

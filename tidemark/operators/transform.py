@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from .custom import cut
 
 
 def project(df: DataFrame, time: Sequence[str], seq: str | None, columns: dict[str, Column]) -> DataFrame:
@@ -33,13 +34,14 @@ def try_flat_map(df: DataFrame, array: Column, valid: Column, name: str, time: S
     return flat_map(df, F.when(F.coalesce(valid, F.lit(False)), array).otherwise(F.raise_error(said)), name, time, seq)
 
 
-def map_batch(df: DataFrame, f: Callable, schema: str, time: Sequence[str] = ()) -> DataFrame:
-    """f on a whole epoch (pandas to pandas), or with no time on batches of any size, whose borders mean nothing."""
+def map_batch(df: DataFrame, f: Callable, schema: str, time: Sequence[str] = (), capacity: int | None = None) -> DataFrame:
+    """f on a whole epoch (pandas to pandas), or with no time on batches of any size (capacity at most), whose
+    borders mean nothing."""
     if time:
         return df.groupBy(*time).applyInPandas(f, schema)
 
     def run(parts):
-        for p in parts:
+        for p in cut(parts, capacity):
             yield f(p)
 
     return df.mapInPandas(run, schema)

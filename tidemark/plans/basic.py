@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_epoch
+from ..functions import cents, day_epoch, tokens
 from ..operators import aggregate, exchange, flow, result, temporal
-from ..sources import from_epochs
+from ..operators.iterate import shared_dir
+from ..sources import FrameFolder, from_epochs, stream_from_dir
+from ..streaming import epoch_aggregate
 from ..timed import TimedFrame
 from .registry import query
 from .tables import E, events
@@ -23,13 +27,68 @@ def input_passthrough(spark, sf_dir):
     return events(spark, sf_dir).map(user_id="user_id", cents="cents").df
 
 
+class _Counts(AccumulatorParam):
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, a, b):
+        for k, n in b.items():
+            a[k] = a.get(k, 0) + n
+        return a
+
+
 @query("foreach_sink_counts", f"WITH {E} SELECT epoch, count(*)::BIGINT AS delivered FROM e GROUP BY 1")
 def foreach_sink_counts(spark, sf_dir):
-    def sink(parts):  # what a terminal sink sees, as counts
-        for p in parts:
-            yield p.groupby("epoch", as_index=False).size().rename(columns={"size": "delivered"})
+    """What a terminal sink has been given, told by an accumulator of a number an epoch."""
+    total = spark.sparkContext.accumulator({}, _Counts())
+
+    def sink(rows):
+        seen: dict = {}
+        for r in rows:
+            seen[r["epoch"]] = seen.get(r["epoch"], 0) + 1
+        total.add(seen)
+
+    f = events(spark, sf_dir)
+    f.over(f.df.select("epoch"), seq=None).for_each_batch(sink)
+    return spark.createDataFrame(sorted(total.value.items()), "epoch long, delivered long")
+
+
+@query("inspect_rows", f"WITH {E} SELECT epoch, seq, cents FROM e WHERE cents > 10000")
+def inspect_rows(spark, sf_dir):
+    """Taps of rows and of batches change nothing."""
+    def whole(row):
+        if row["cents"] <= 10000:
+            raise ValueError("filtered")
+
+    f = events(spark, sf_dir).filter("cents > 10000")
+    f = f.over(f.df.select("epoch", "seq", "cents"))
+    return f.inspect_rows(whole).inspect_batch(lambda batch: batch["cents"].sum()).df
+
+
+@query("notify_at_epochs", f"WITH {E} SELECT epoch, count(*)::BIGINT AS n FROM e GROUP BY 1 UNION ALL SELECT t.epoch, 0 FROM (VALUES (-1::BIGINT), (100000::BIGINT)) t(epoch)")
+def notify_at_epochs(spark, sf_dir):
+    """Notifications asked for at epochs that have no rows come with those of the epochs that have."""
+    f = events(spark, sf_dir)
+    return f.over(f.df.select("epoch"), seq=None).notify_at(lambda epoch, rows: pd.DataFrame({"epoch": [epoch], "n": [len(rows)]}), "epoch long, n long", [-1, 100_000]).df
+
+
+@query("output_receiver", f"WITH {E} SELECT epoch, count(*)::BIGINT AS n FROM e GROUP BY 1")
+def output_receiver(spark, sf_dir):
+    """Rows as they come out of a flow, a row an epoch."""
+    from ..runtime import Flow
+
+    flow = Flow(spark)
+    flow.output("counts", events(spark, sf_dir).count().with_capacity(8))
+    out = flow.take_output("counts")
+    return spark.createDataFrame([tuple(r) for r in out], "epoch long, n long")
 
-    return events(spark, sf_dir).df.select("epoch").mapInPandas(sink, "epoch long, delivered long").groupBy("epoch").agg(F.sum("delivered").alias("delivered"))
+
+@query("partition_strategies", f"WITH {E} SELECT s.s AS strategy, count(*) * s.k AS n FROM e, (VALUES ('broadcast', 3::BIGINT), ('exchange', 1::BIGINT), ('gather', 1::BIGINT), ('pipeline', 1::BIGINT), ('rebalance', 1::BIGINT)) s(s, k) GROUP BY s.s, s.k")
+def partition_strategies(spark, sf_dir):
+    f = events(spark, sf_dir)
+    f = f.over(f.df.select("epoch", "user_id"), seq=None)
+    every = [f.partitioned(x, *(["user_id"] if x is exchange.PartitionStrategy.EXCHANGE else []), to=3).df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(x.value).alias("strategy"), "n") for x in exchange.PartitionStrategy]
+    return flow.concat(every)
 
 
 @query("inspect_observe", f"WITH {E} SELECT count(*)::BIGINT AS n, sum(cents)::BIGINT AS total, max(epoch) AS last FROM e")
@@ -44,7 +103,7 @@ def inspect_observe(spark, sf_dir):
 def probe_frontier(spark, sf_dir):
     from ..runtime import Engine
 
-    run = Engine(spark).spawn("probe", events(spark, sf_dir).count())
+    run = Engine(spark).spawn("probe", events(spark, sf_dir).count(), action=DataFrame.collect)
     rows = run.join()
     return spark.createDataFrame([(r["epoch"], run.probe.done_with(r["epoch"])) for r in rows], "epoch long, done boolean")
 
@@ -61,8 +120,6 @@ def filter_predicate(spark, sf_dir):
 
 @query("flat_map_split", r"SELECT doc_id % 10 AS epoch, doc_id AS seq, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS word FROM documents")
 def flat_map_split(spark, sf_dir):
-    from ..functions import tokens
-
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 10).alias("epoch"), F.col("doc_id").alias("seq"), "text")
     return TimedFrame(d, seq="seq").flat_map(tokens("text"), "word").df
 
@@ -354,8 +411,16 @@ def cogroup_custom(spark, sf_dir):
 
 @query("context_threshold", f"WITH {E} SELECT epoch, count(*)::BIGINT AS n FROM e WHERE cents > 25000 GROUP BY 1")
 def context_threshold(spark, sf_dir):
-    context = {"threshold": 25_000}  # shared settings are literals of the plan
-    return events(spark, sf_dir).filter(F.col("cents") > context["threshold"]).count().df
+    from dataclasses import dataclass
+
+    from ..runtime import Flow
+
+    @dataclass
+    class Limits:
+        cents: int
+
+    flow = Flow(spark).with_context(Limits(25_000))  # shared settings become literals of the plan
+    return flow.input("events", events(spark, sf_dir)).filter(F.col("cents") > flow.get_context(Limits).cents).count().df
 
 
 @query("chunk_500", f"WITH {E} SELECT epoch, (i // 500)::BIGINT AS chunk, count(*)::BIGINT AS n FROM (SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY seq) - 1 AS i FROM e) GROUP BY 1, 2")
@@ -374,22 +439,51 @@ def distinct_global_first(spark, sf_dir):
     return events(spark, sf_dir).map(user_id="user_id").distinct_ever("user_id").df
 
 
-@query("stream_epoch_stats", f"WITH {E} SELECT epoch, count(*)::BIGINT AS n, sum(cents)::BIGINT AS total FROM e GROUP BY 1")
-def stream_epoch_stats(spark, sf_dir):
-    """The aggregation as a stream that takes what is there, without a watermark, in complete mode."""
-    import os
-    import tempfile
+def _shared(spark, name: str) -> str:
     import uuid
 
-    from ..functions import cents
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    d = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    agg = d.select(day_epoch("ts").alias("epoch"), cents("value").alias("cents")).groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total"))
-    q = agg.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+def _streamed(spark, agg, mode: str):
+    """The last snapshot of an aggregation over a stream of what is there."""
+    at = _shared(spark, "stream")
+    q = agg.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
+def _stream_of(spark, sf_dir, name: str):
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("stream_epoch_stats", f"WITH {E} SELECT epoch, count(*)::BIGINT AS n, sum(cents)::BIGINT AS total FROM e GROUP BY 1")
+def stream_epoch_stats(spark, sf_dir):
+    """The aggregation as a stream that takes what is there, without a watermark, in complete mode."""
+    d = _stream_of(spark, sf_dir, "events").select(day_epoch("ts").alias("epoch"), cents("value").alias("cents"))
+    return _streamed(spark, d.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total")), "complete")
+
+
+@query("wordcount_snapshot", r"WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS word FROM documents) SELECT word, count(*)::BIGINT AS n FROM w GROUP BY 1")
+def wordcount_snapshot(spark, sf_dir):
+    """Snapshots of the counts over all epochs, from a stream in complete mode; the last one is the result."""
+    d = _stream_of(spark, sf_dir, "documents").select(F.explode(tokens("text")).alias("word"))
+    return _streamed(spark, d.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "complete")
+
+
+@query("advance_to_epochs", f"WITH {E}, m AS (SELECT max(epoch) // 2 AS half FROM e) SELECT epoch, count(*)::BIGINT AS n, sum(cents)::BIGINT AS total FROM e, m WHERE epoch < half GROUP BY 1")
+def advance_to_epochs(spark, sf_dir):
+    """Rows are sent to a stream, which is then advanced to half of the epochs and not closed: the epochs before are
+    sealed and come out, that one, which has rows, does not."""
+    d = events(spark, sf_dir).df.select("epoch", "seq", "cents")
+    half = (d.agg(F.max("epoch").alias("last")).first()["last"] or 0) // 2
+    at = _shared(spark, "sent")
+    sender = FrameFolder(spark, f"{at}/in", "cents long")
+    sender.send(d.where(F.col("epoch") <= half))
+    sender.advance_to(half)
+    frame = stream_from_dir(spark, f"{at}/in", "cents long", files_per_trigger=1_000)
+    agg = epoch_aggregate(frame, F.count_if(~F.col("marker")).alias("n"), F.sum("cents").alias("total"))
+    q = agg.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/out").start()
+    q.awaitTermination()
+    return spark.read.schema(agg.schema).parquet(f"{at}/out")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -107,14 +108,11 @@ def wordcount_epoch(spark, sf_dir):
 
 @query("notify_wordcount", f"WITH w AS ({_WORDS}) SELECT epoch, count(DISTINCT word)::BIGINT AS words, max(n)::BIGINT AS most FROM (SELECT epoch, word, count(*) AS n FROM w GROUP BY 1, 2) GROUP BY 1")
 def notify_wordcount(spark, sf_dir):
-    n = _words(spark, sf_dir).count(by=["word"])
-    return n.aggregate(F.count(F.lit(1)).alias("words"), F.max("n").alias("most")).df
+    """A notification an epoch, with its distinct words and their counts."""
+    def told(words: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"epoch": words["epoch"].iloc[:1], "words": [len(words)], "most": [words["n"].max()]})
 
-
-@query("wordcount_snapshot", f"WITH w AS ({_WORDS}) SELECT word, count(*)::BIGINT AS n FROM w GROUP BY 1")
-def wordcount_snapshot(spark, sf_dir):
-    """The last snapshot of the counts over all epochs."""
-    return _words(spark, sf_dir).df.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return _words(spark, sf_dir).count(by=["word"]).unary_notify(told, "epoch long, words long, most long").df
 
 
 @query("running_counts", f"WITH {E} SELECT event_type, seq, row_number() OVER (PARTITION BY event_type ORDER BY epoch, seq) AS n FROM e")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import logging
 import os
 import uuid
@@ -10,7 +11,8 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..timed import TimedFrame
@@ -76,6 +78,58 @@ class EpochFolder:
         self.close()
 
 
+class FrameFolder:
+    """The same sending end for whole DataFrames, written by Spark to any folder that it can reach: send(df) with the
+    columns epoch, seq and those of schema, advance_to(epoch), close()."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.frontier, self.closed, self.schema = spark, path, 0, False, schema
+
+    def _write(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def send(self, df: DataFrame) -> None:
+        if self.closed:
+            raise ConfigError("the input is closed")
+        empty = self.spark.createDataFrame([], f"epoch long, seq long, {self.schema}, marker boolean")
+        self._write(empty.unionByName(df.withColumn("marker", F.lit(False))))
+
+    def _mark(self, epoch: int) -> None:
+        self._write(self.spark.createDataFrame([(epoch, True)], "epoch long, marker boolean"))
+
+    def advance_to(self, epoch: int) -> None:
+        if epoch < self.frontier:
+            log.warning("advance_to(%s) lies before %s and is ignored", epoch, self.frontier)
+            return
+        self.frontier = epoch
+        self._mark(epoch)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._mark(SENTINEL)
+            self.closed = True
+
+
+class AsyncSender:
+    """An EpochFolder for coroutines: its calls are awaited and made in a thread, one after another."""
+
+    def __init__(self, folder: EpochFolder):
+        self.folder, self._turn = folder, asyncio.Lock()
+
+    async def _call(self, f, *args) -> None:
+        async with self._turn:
+            await asyncio.to_thread(f, *args)
+
+    async def send(self, epoch: int, rows: Sequence[Any]) -> None:
+        await self._call(self.folder.send, epoch, rows)
+
+    async def advance_to(self, epoch: int) -> None:
+        await self._call(self.folder.advance_to, epoch)
+
+    async def close(self) -> None:
+        await self._call(self.folder.close)
+
+
 def stream_from_dir(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> TimedFrame:
     """A streaming frame over an EpochFolder; the marker rows are still in it (streaming.sealed removes them)."""
     if files_per_trigger < 1:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stream import SENTINEL
+from ..errors import ConfigError
 from ..timed import TimedFrame
 
 SHIFT = 86_400
@@ -34,9 +34,7 @@ def sealed(frame: TimedFrame) -> DataFrame:
 def epoch_aggregate(frame: TimedFrame, *aggs: Column, by: Sequence[str] = ()) -> DataFrame:
     """A row per epoch (and key) once it is sealed; append mode.  aggs must give null or 0 counts for markers, which
     have null payloads; epochs of markers alone are left out.  Late rows are dropped."""
-    d = sealed(frame)
-    g = d.groupBy("event_time", *by).agg(*aggs, F.count_if(~F.col("marker")).alias("__rows"))
-    return g.where(F.col("__rows") > 0).select(_epoch(F.col("event_time")).alias(frame.time[0]), *[c for c in g.columns if c not in ("event_time", "__rows")])
+    return sums_of(sealed(frame), frame.time[0], *aggs, by=by)
 
 
 def revised(frame: TimedFrame, *aggs: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -53,5 +51,20 @@ def deduplicated(frame: TimedFrame) -> DataFrame:
     return out.select(*frame.time, *[c for c in frame.payload if c != "marker"])
 
 
-def is_marker_epoch(epoch: int) -> bool:
-    return epoch >= SENTINEL
+
+def merged(*frames: TimedFrame) -> DataFrame:
+    """Several inputs as one, with the watermarked column event_time: an epoch is sealed once all inputs have passed
+    it, as the watermark is the least of theirs (the policy "min", which is checked)."""
+    spark = frames[0].df.sparkSession
+    if spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy", "min") != "min":
+        raise ConfigError("several inputs need spark.sql.streaming.multipleWatermarkPolicy=min")
+    out = sealed(frames[0])
+    for f in frames[1:]:
+        out = out.unionByName(sealed(f))
+    return out
+
+
+def sums_of(d: DataFrame, time: str, *aggs: Column, by: Sequence[str] = ()) -> DataFrame:
+    """epoch_aggregate over rows that sealed() or merged() gave."""
+    g = d.groupBy("event_time", *by).agg(*aggs, F.count_if(~F.col("marker")).alias("__rows"))
+    return g.where(F.col("__rows") > 0).select(_epoch(F.col("event_time")).alias(time), *[c for c in g.columns if c not in ("event_time", "__rows")])

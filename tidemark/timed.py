@@ -51,7 +51,7 @@ class TimedFrame:
         return [*self.time, self.seq]
 
     def with_capacity(self, n: int) -> TimedFrame:
-        """Rows that the next edge may hold.  Batch plans have no such edge; stream sources use it as their rate."""
+        """Rows that the next edge may hold: the Python operator that comes next gets batches of so many at most."""
         if n < 1:
             raise ConfigError("capacity must be 1 at least")
         return replace(self, capacity=n)
@@ -71,7 +71,7 @@ class TimedFrame:
         return self.over(transform.try_flat_map(self.df, column(array), column(valid), name, self.time, self.seq, column(message) if message is not None else None))
 
     def map_batch(self, f: Callable, schema: str, per_epoch: bool = True) -> TimedFrame:
-        return self.over(transform.map_batch(self.df, f, schema, self.time if per_epoch else ()))
+        return self.over(transform.map_batch(self.df, f, schema, self.time if per_epoch else (), self.capacity))
 
     try_map_batch = map_batch  # a function that raises fails the flow
 
@@ -135,8 +135,8 @@ class TimedFrame:
     def join_epoch(self, other: TimedFrame, on: Sequence[str], how: str = "inner") -> TimedFrame:
         return self.over(joins.per_epoch(self.df, other.df, list(on), self.time, how), seq=None)
 
-    def binary(self, other: TimedFrame, on: Sequence[str], f: Callable, schema: str) -> TimedFrame:
-        return self.over(custom.binary(self.df, other.df, list(on), f, schema))
+    def binary(self, other: TimedFrame, on: Sequence[str], f: Callable, schema: str, name: str = "binary") -> TimedFrame:
+        return self.over(custom.binary(self.df, other.df, list(on), f, schema, name))
 
     # -- distribution ----------------------------------------------------------------------------------
 
@@ -172,14 +172,18 @@ class TimedFrame:
 
     # -- custom ----------------------------------------------------------------------------------------
 
-    def unary(self, f: Callable, schema: str) -> TimedFrame:
-        return self.over(custom.unary(self.df, f, schema))
+    def unary(self, f: Callable, schema: str, name: str = "unary") -> TimedFrame:
+        return self.over(custom.unary(self.df, f, schema, self.capacity, name))
 
-    def unary_notify(self, f: Callable, schema: str, by: Sequence[str] = ()) -> TimedFrame:
-        return self.over(custom.unary_notify(self.df, f, schema, self.time, by))
+    def unary_notify(self, f: Callable, schema: str, by: Sequence[str] = (), name: str = "unary_notify") -> TimedFrame:
+        return self.over(custom.unary_notify(self.df, f, schema, self.time, by, name))
 
-    def unary_async(self, f: Callable, schema: str, max_concurrency: int = 8) -> TimedFrame:
-        return self.over(custom.unary_async(self.df, f, schema, max_concurrency))
+    def notify_at(self, f: Callable, schema: str, epochs: Sequence[int], name: str = "notify_at") -> TimedFrame:
+        """f(epoch, rows) once for each epoch with rows, and for those asked for that have none."""
+        return self.over(custom.notify_at(self.df, f, schema, self.time[0], epochs, name))
+
+    def unary_async(self, f: Callable, schema: str, max_concurrency: int = 8, name: str = "unary_async") -> TimedFrame:
+        return self.over(custom.unary_async(self.df, f, schema, max_concurrency, self.capacity, name))
 
     def iterate(self, body: Callable[[DataFrame], iterate.Step], max_rounds: int = 100) -> TimedFrame:
         return self.over(iterate.iterate(self.df, body, max_rounds=max_rounds))
@@ -190,8 +194,24 @@ class TimedFrame:
         """(frame, Observation): rows pass through; the metrics can be read after an action."""
         return flow.inspect(self, name, list(metrics))
 
+    def inspect_rows(self, f: Callable[[dict], None], name: str = "inspect") -> TimedFrame:
+        """Rows pass through; f sees each, on the executors."""
+        return self.over(custom.tap(self.df, f, False, name))
+
+    def inspect_batch(self, f: Callable, name: str = "inspect_batch") -> TimedFrame:
+        return self.over(custom.tap(self.df, f, True, name))
+
+    def for_each(self, f: Callable) -> None:
+        """Runs f on each row, on the executors, as an end."""
+        self.df.foreach(f)
+
     def for_each_batch(self, f: Callable) -> None:
+        """Runs f on the rows of each partition (an iterator)."""
         self.df.foreachPartition(f)
 
+    def partitioned(self, strategy: exchange.PartitionStrategy, *keys: Column | str, to: int | None = None) -> TimedFrame:
+        """Dealt by a strategy that is given as a value."""
+        return self.over(exchange.partitioned(self.df, strategy, [column(k) for k in keys], to))
+
     def collect(self) -> list:
         return self.df.collect()
