@@ -13,17 +13,19 @@ def day_epoch(ts: Column | str, origin: str = "2024-01-01") -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased words between white space (ASCII)."""
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.filter(F.split(t, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    t = F.translate(F.lower(F.col(text) if isinstance(text, str) else text), "\t\n\x0b\f\r", "     ")
+    return F.array_remove(F.split(t, " "), "")  # a single character is split at without a pattern
 
 
 def money(x: Column | str) -> Column:
     """A sum of amounts with two places, exact and independent of order, as a double."""
-    return F.sum((F.col(x) if isinstance(x, str) else x).cast("decimal(18,2)")).cast("double")
+    return F.sum(cents(x)) / F.lit(100.0)
 
 
 def cents(x: Column | str) -> Column:
-    return F.round((F.col(x) if isinstance(x, str) else x) * 100).cast("long")
+    """Hundredths, rounded half away from zero, in machine arithmetic."""
+    v = F.col(x) if isinstance(x, str) else x
+    return (F.signum(v) * F.floor(F.abs(v) * 100 + 0.5)).cast("long")
 
 
 def div(a: Column, b: int) -> Column:
