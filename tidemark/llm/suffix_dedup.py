@@ -2,15 +2,21 @@
 
 A passage is a stretch of at least MIN_WORDS words (split at white space, compared as they are) that occurs in
 two places, in one document or in several.  Of each text only the suffixes at content-selected positions are
-kept: those where the hash of the next SEED words is the least of its neighbourhood, so that any two equal
-passages keep the same positions.  The kept suffixes are dealt by their first SEED words and sorted; equal
-neighbours are matches.  Only documents with matches are read again; there a match is extended to the left and
-right, word by word, to all the stretches of MIN_WORDS words that hold it; these are sorted and compared with
-their neighbours in turn, which tells exactly which are repeated and where each occurs first.  Sorting brings
-equal suffixes together however many there are, so no two places are compared that are not neighbours.
+kept: the anchor of a stretch of MIN_WORDS words is the (leftmost) place in it where the hash of the next SEED
+words is least, and the places that are anchors of some stretch are kept.  Equal stretches have equal anchors.
+
+The kept suffixes are dealt by their first SEED words and sorted; those of equal neighbours are matches.  Only
+documents with matches are read again, and send their matching suffixes with the words to the right and to the
+left.  There the suffixes are sorted by the words that follow and compared with their neighbours word by word, which
+extends a match to the right, and sorted by the words before, backwards, which extends it to the left.  For each
+number of words to the left, suffixes that agree as far on both sides are one class: a passage, if it has several,
+and the least document and place is its first.  No two suffixes are compared that are not neighbours.
 
 The first occurrence (least id, then place) stays; words that only later occurrences cover are to be removed.
 
+Words are compared by 32 bits of their hashes, beyond the 64 bits of the first SEED words: a passage can seem a word
+longer than it is with probability 2^-32 an end.
+
 Defined results: null, empty and short texts have no passages; rows equal in id and text are one document and
 get the same result; a null id sorts last; an empty table gives an empty result.
 """
@@ -26,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from .common import WORD, forget, maybe_in, release, table, written
 from .memos import serve
-from .words import bounds, expand, mixed, pack, powers, runs, squeeze, unpack, word_hashes
+from .words import bounds, distinct, expand, mixed, pack, powers, runs, squeeze, unpack, word_hashes
 
 MIN_WORDS, SEED = 50, 25
 #: A worker sends what it has gathered when it holds so many places, or documents.
@@ -57,35 +64,49 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def selected(h: np.ndarray, words: int = MIN_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose seed hash is the least in some stretch of `words` words, and those hashes."""
+def anchors(h: np.ndarray, words: int = MIN_WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places that are anchors of stretches of `words` words, their seed hashes, and the least and the largest
+    number of words that those stretches have before the anchor."""
     if len(h) < words:
-        return np.empty(0, np.int64), np.empty(0, _U)
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, _U), none, none
     x, width = rolling(h, seed), words - seed + 1
     m = _sliding(x, width, np.minimum)  # per stretch
-    pad = np.zeros(width - 1, _U)
-    most = _sliding(np.concatenate([pad, m, pad]), width, np.maximum)  # per place, over the stretches that hold it
-    at = np.flatnonzero(most == x)
-    return at, x[at]
+    # the leftmost place of the least: the first place of that value at or after the stretch's start
+    order = np.argsort(x, kind="stable")
+    start = np.arange(len(m))
+    if len(distinct(x)) == len(x):
+        at = order[np.searchsorted(x[order], m)]
+    else:
+        v = x[order]
+        lo = np.searchsorted(v, m)
+        # places of a value are sorted; count those before the start
+        key = np.searchsorted(distinct(x), v) * len(x) + order
+        at = order[np.searchsorted(key, np.searchsorted(distinct(x), m) * len(x) + start)]
+        assert (v[lo] == m).all()
+    place, first, count = np.unique(at, return_index=True, return_counts=True)
+    return place, x[place], place - start[first] - count + 1, place - start[first]
 
 
 class _Sender:
-    """Gathers (key, document, place) and packs them by the part of the key."""
+    """Gathers (key, document, place, more) and packs them by the part of the key."""
 
-    def __init__(self, parts: int):
-        self.cuts = bounds(parts)
+    def __init__(self, parts: int, width: int = 0):
+        self.cuts, self.width = bounds(parts), width
         self.clear()
 
     def clear(self):
-        self.keys, self.places, self.own, self.ids, self.rows, self.total = [], [], [], [], [], 0
+        self.keys, self.places, self.more, self.own, self.ids, self.rows, self.total = [], [], [], [], [], [], 0
 
-    def add(self, keys, places, doc_id, row):
+    def add(self, keys, places, doc_id, row, more=None):
         self.keys.append(keys)
         self.places.append(places)
+        if more is not None:
+            self.more.append(more)
         self.own.append(len(keys))
         self.ids.append(NO_ID if doc_id is None else doc_id)
         self.rows.append(row)
-        self.total += len(keys)
+        self.total += len(keys) * (1 + self.width // 4)
 
     def full(self) -> bool:
         return self.total > FLUSH_PLACES or len(self.own) >= FLUSH_DOCS
@@ -93,6 +114,7 @@ class _Sender:
     def packed(self) -> pa.RecordBatch:
         k = np.concatenate([np.empty(0, _U), *self.keys])
         place = np.concatenate([np.empty(0, np.int64), *self.places]).astype("<u4")
+        more = np.concatenate([np.empty((0, self.width), "<u4"), *self.more])
         d = np.repeat(np.arange(len(self.own)), self.own)
         ids, rows = np.array(self.ids, "<i8"), np.array(self.rows, "<i8")
         order = np.argsort(k, kind="stable")
@@ -101,58 +123,93 @@ class _Sender:
         for p, (a, b) in enumerate(zip(at, at[1:])):
             if b > a:
                 used, short = np.unique(d[a:b], return_inverse=True)
-                out.append((p, pack(k[a:b]), squeeze(place[a:b]), squeeze(short.astype("<u2")), ids[used].tobytes(), rows[used].tobytes()))
+                own = more[order[a:b]].astype("<u4").tobytes() if self.width else b""
+                out.append((p, pack(k[a:b]), squeeze(place[a:b]), squeeze(short.astype("<u2")), ids[used].tobytes(), rows[used].tobytes(), own))
         self.clear()
-        cols = list(zip(*out)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "places", "docs", "ids", "rows"])
+        cols = list(zip(*out)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "places", "docs", "ids", "rows", "more"])
 
 
-_SENT = "part int, keys binary, places binary, docs binary, ids binary, rows binary"
+_SENT = "part int, keys binary, places binary, docs binary, ids binary, rows binary, more binary"
 
 
-def _received(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """keys, ids, rows, places, sorted by all of them, each once."""
+def _received(pdf: pd.DataFrame, width: int = 0) -> tuple[np.ndarray, ...]:
+    """keys, ids, rows, places and more, sorted by the first four, each once; of keys that come several times."""
     keys = np.concatenate([unpack(k) for k in pdf["keys"]])
     place = np.concatenate([expand(p, "<u4") for p in pdf["places"]])
     doc = [expand(d, "<u2") for d in pdf["docs"]]
     ids = np.concatenate([np.frombuffer(i, "<i8")[d] for i, d in zip(pdf["ids"], doc)])
     rows = np.concatenate([np.frombuffer(r, "<i8")[d] for r, d in zip(pdf["rows"], doc)])
+    more = np.concatenate([np.frombuffer(m, "<u4").reshape(-1, width) for m in pdf["more"]]) if width else np.empty((len(keys), 0), "<u4")
     order = np.lexsort((place, rows, ids, keys))
-    keys, ids, rows, place = keys[order], ids[order], rows[order], place[order]
+    keys, ids, rows, place, more = keys[order], ids[order], rows[order], place[order], more[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])
-    return keys[fresh], ids[fresh], rows[fresh], place[fresh]
-
-
-def _by_document(sent: DataFrame, parts: int) -> DataFrame:
-    """row, places, firsts (packed): the places of sent whose key occurs at several; whether each is its key's
-    first.  Gathered by document."""
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, _, rows, place = _received(pdf)
-        r = runs(keys)
-        n = np.diff(r)
-        many = np.repeat(n, n) > 1
-        first = np.zeros(len(keys), bool)
-        first[r[:-1]] = True
-        rows, place, first = rows[many], place[many], first[many]
-        group = (rows.astype(_U) % _U(parts)).astype(np.int64)
-        order = np.lexsort((rows, group))
-        group, rows, place, first = group[order], rows[order], place[order], first[order]
-        g = runs(group)
-        return pd.DataFrame([(int(group[a]), rows[a:b].tobytes(), place[a:b].tobytes(), first[a:b].tobytes()) for a, b in zip(g, g[1:])], columns=["part", "rows", "places", "firsts"])
+    keys, ids, rows, place, more = keys[fresh], ids[fresh], rows[fresh], place[fresh], more[fresh]
+    n = np.diff(runs(keys))
+    many = np.repeat(n, n) > 1
+    return keys[many], ids[many], rows[many], place[many], more[many]
+
+
+def _classes(keys: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Suffixes (rows of words) sorted within equal keys and compared with their neighbours: for each depth 0, 1, ...
+    the class of each suffix, those that agree in key and so many words."""
+    n, width = context.shape
+    own = np.concatenate([keys.astype("<u8").view("<u4").reshape(n, 2), context], axis=1)
+    order = np.argsort(np.ascontiguousarray(own).view(f"V{4 * (width + 2)}").ravel(), kind="stable") if n else np.empty(0, np.int64)
+    x, k = context[order], keys[order]
+    agree = np.ones((n, width + 1), bool)
+    agree[1:, 0] = k[1:] == k[:-1]
+    agree[1:, 1:] = np.logical_and.accumulate((x[1:] == x[:-1]) & agree[1:, :1], axis=1)
+    agree[:1] = False
+    out = np.empty((width + 1, n), np.int64)
+    out[:, order] = np.cumsum(~agree, axis=0).T
+    return out
+
+
+def _repeats(keys: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of documents and places: bit l of the first result tells whether the stretch with l words
+    before the suffix is repeated, of the second whether it is the first of its kind."""
+    n, width = left.shape
+    repeated, first = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    before, after = _classes(keys, left), _classes(keys, right)
+    for l in range(width + 1):
+        own = np.flatnonzero((least <= l) & (l <= most))
+        c = before[l][own] * (n + 2) + after[width - l][own]
+        order = np.argsort(c, kind="stable")
+        r = runs(c[order])
+        size = np.diff(r)
+        several = np.repeat(size > 1, size)
+        lead = np.zeros(len(own), bool)
+        lead[r[:-1]] = True
+        repeated[own[order[several]]] |= _U(1 << l)
+        first[own[order[several & lead]]] |= _U(1 << l)
+    return repeated, first
+
+
+def _by_document(met: DataFrame) -> DataFrame:
+    """row, places, repeated, first (packed), gathered by document."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(pdf["rows"]), np.int64)
         place = np.frombuffer(b"".join(pdf["places"]), np.uint32)
-        first = np.frombuffer(b"".join(pdf["firsts"]), bool)
+        masks = [np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("repeated", "first")]
         order = np.lexsort((place, rows))
-        rows, place, first = rows[order], place[order], first[order]
+        rows, place, masks = rows[order], place[order], [m[order] for m in masks]
         g = runs(rows)
-        return pd.DataFrame([(int(rows[a]), squeeze(place[a:b].astype("<u4")), squeeze(first[a:b].view(np.uint8))) for a, b in zip(g, g[1:])], columns=["row", "places", "firsts"])
+        return pd.DataFrame([(int(rows[a]), squeeze(place[a:b].astype("<u4")), *(squeeze(m[a:b].astype("<u8")) for m in masks)) for a, b in zip(g, g[1:])], columns=["row", "places", "repeated", "first"])
+
+    return met.groupBy("part").applyInPandas(gather, "row long, places binary, repeated binary, first binary")
 
-    met = sent.groupBy("part").applyInPandas(meet, "part int, rows binary, places binary, firsts binary")
-    return met.groupBy("part").applyInPandas(gather, "row long, places binary, firsts binary")
+
+def _dealt(rows: np.ndarray, place: np.ndarray, repeated: np.ndarray, first: np.ndarray, parts: int) -> pd.DataFrame:
+    group = (rows.astype(_U) % _U(parts)).astype(np.int64)
+    order = np.lexsort((rows, group))
+    g = runs(group[order])
+    return pd.DataFrame([(int(group[order[a]]), *(x[order[a:b]].tobytes() for x in (rows, place, repeated, first))) for a, b in zip(g, g[1:])], columns=["part", "rows", "places", "repeated", "first"])
+
+
+_MET = "part int, rows binary, places binary, repeated binary, first binary"
 
 
 def _spans(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -179,48 +236,70 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     the documents that hold repeated passages."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), row_key(doc, text).alias("row"))
+    width = words - seed
+    if not 0 < width < 64:
+        raise ConfigError("passages have 1 to 63 words more than seeds")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("suffix")
         s = _Sender(parts)
         for b in batches:
             for i, t, r in zip(*b.columns):
-                at, keys = selected(word_hashes(t.as_py()), words, seed)
+                at, keys, _, _ = anchors(word_hashes(t.as_py()), words, seed)
                 if len(at):
                     s.add(keys, at, i.as_py(), r.as_py())
                 if s.full():
                     yield s.packed()
         yield s.packed()
 
-    matches = written(_by_document(d.mapInArrow(seeds, _SENT), parts).select("row", "places"), "suffix-matches")
+    def equal(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, rows, place, _ = _received(pdf)
+        return _dealt(rows, place, np.zeros(len(rows), _U), np.zeros(len(rows), _U), parts)
 
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _Sender(parts)
+    met = d.mapInArrow(seeds, _SENT).groupBy("part").applyInPandas(equal, _MET)
+    matches = written(_by_document(met).select("row", "places"), "suffix-matches")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = _Sender(parts, 2 * width + 1)
         for b in batches:
             for i, t, r, p in zip(*b.columns):
                 h = word_hashes(t.as_py())
-                place = expand(p.as_py(), "<u4").astype(np.int64)
-                held = np.zeros(len(h) + 1, np.int64)  # starts of stretches that hold a match
-                np.add.at(held, np.maximum(place - (words - seed), 0), 1)
-                np.add.at(held, place + 1, -1)
-                starts = np.flatnonzero(np.cumsum(held)[: len(h) - words + 1] > 0)
-                s.add(rolling(h, words)[starts], starts, i.as_py(), r.as_py())
+                at, keys, least, most = anchors(h, words, seed)
+                own = np.isin(at, expand(p.as_py(), "<u4"))
+                at, keys, least, most = at[own], keys[own], least[own], most[own]
+                low = np.concatenate([np.zeros(width, _U), h, np.zeros(words, _U)]) & _U(0xFFFFFFFF)
+                k = np.arange(width)
+                left = np.where(k < most[:, None], low[at[:, None] + width - 1 - k], 0)  # backwards from the suffix
+                right = np.where(k < (width - least)[:, None], low[at[:, None] + width + seed + k], 0)
+                s.add(keys, at, i.as_py(), r.as_py(), np.concatenate([left, right, (least * 64 + most)[:, None].astype(_U)], axis=1).astype("<u4"))
                 if s.full():
                     yield s.packed()
         yield s.packed()
 
+    def extended(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, _, rows, place, more = _received(pdf, 2 * width + 1)
+        if not len(keys):
+            return pd.DataFrame(columns=["part", "rows", "places", "repeated", "first"])
+        ends = more[:, -1].astype(np.int64)
+        repeated, first = _repeats(keys, more[:, :width], more[:, width:-1], ends // 64, ends % 64)
+        some = repeated > 0
+        return _dealt(rows[some], place[some], repeated[some], first[some], parts)
+
     again = maybe_in(d, "row", matches.select("row")).join(matches, "row").select("id", "text", "row", "places")
-    found = _by_document(again.mapInArrow(extended, _SENT), parts)
+    found = _by_document(again.mapInArrow(contexts, _SENT).groupBy("part").applyInPandas(extended, _MET))
 
     def spans(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts_:
             out = []
-            for row, place, first in zip(pdf["row"], pdf["places"], pdf["firsts"]):
-                place, first = expand(place, "<u4").astype(np.int64), expand(first, np.uint8).astype(bool)
+            for row, *cols in zip(pdf["row"], pdf["places"], pdf["repeated"], pdf["first"]):
+                place, masks = expand(cols[0], "<u4").astype(np.int64), [expand(c, "<u8") for c in cols[1:]]
+                l = np.arange(width + 1)
+                every, lead = (((m[:, None] >> l.astype(_U)) & _U(1)).astype(bool) for m in masks)
+                start = place[:, None] - l
                 n = int(place.max()) + words
-                later = _covered(place[~first], n, words) & ~_covered(place[first], n, words)
-                as_rows = [[{"start": a, "stop": b} for a, b in _spans(c)] for c in (_covered(place, n, words), later)]
-                out.append((row, *as_rows))
+                first, repeated = _covered(start[lead], n, words), _covered(start[every], n, words)
+                later = _covered(start[every & ~lead], n, words) & ~first
+                out.append((row, *[[{"start": a, "stop": b} for a, b in _spans(c)] for c in (repeated, later)]))
             yield pd.DataFrame(out, columns=["row", "repeated", "removed"])
 
     out = written(found.mapInPandas(spans, f"row long, repeated {_SPANS}, removed {_SPANS}"), "suffix-found")
