@@ -21,6 +21,8 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     if labels is None:
         return components(links)
+    if links.isEmpty():
+        return labels
     own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     pairs = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     more = components(pairs.where("a != b").distinct())

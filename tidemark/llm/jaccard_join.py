@@ -10,8 +10,7 @@ of up to TINY shingles use each shingle as a part of its own.
 Those that meet in a part make a run.  Every set is first held against the least of all its runs' first members:
 one pair a set, after which most near copies are one component.  Components are merged on their labels, and runs
 that hold one label only are out.  In the rest each set is held against its runs' first members of other
-components, then twice against its nearest of another component, and at last all pairs across components are
-compared; a parity sketch of bits, whose Hamming distance is at most the symmetric difference, rules most of them
+components, then against its nearest of another component, and at last all pairs across components are compared; a parity sketch of bits, whose Hamming distance is at most the symmetric difference, rules most of them
 out before the sets are compared.  A run of many members is cut into blocks, and pairs of blocks are dealt to
 tasks.  So a group of thousands of near copies costs a few comparisons per member, and no link is lost.
 
@@ -46,7 +45,7 @@ from .words import bounds, mixed, pack, runs, shingle_set, unpack
 TINY, RATIO = 40, 1.78
 SKETCH_BITS = 256
 #: A worker sends what it has gathered when it holds so many parts, or documents.
-FLUSH_PARTS, FLUSH_DOCS = 3_000_000, 60_000
+FLUSH_PARTS, FLUSH_DOCS = 2_000_000, 60_000
 #: Pairs of sketches that are compared at a time; documents, or pairs of sets, that are sent to Python at a time.
 BLOCK, BATCH = 200_000, 500
 #: Near copies share many runs, so one run in so many is enough to find a set's nearest; all pairs are looked for in
@@ -371,14 +370,14 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
     facts = sets.select("s", "n", "sketch")
     labels = None
 
-    def grown(pairs: DataFrame) -> None:
-        """Compares pairs (a, b) and merges the components of those that link; runs of one label are out."""
+    def grown(pairs: DataFrame, sketched: bool = False) -> None:
+        """Compares pairs (a, b), each given once, and merges the components of those that link; runs of one label are
+        out.  sketched: their sketches have been compared."""
         nonlocal labels, open_
-        pairs = written(pairs.distinct(), "jaccard-pairs")
-        fit = written(promising(pairs, facts, percent), "jaccard-fit")
+        fit = written(pairs if sketched else promising(pairs, facts, percent), "jaccard-fit")
         links = written(linked(fit, sets, percent), "jaccard-links")
         labels = merged(labels, links)
-        for t in (pairs, fit, links):
+        for t in (fit, links):
             forget(spark, t)
         own = labels.select(F.col("node").alias("s"), F.col("label").alias("to"))
         now = open_.select("run", "s", "lead").join(own, "s", "left").select("run", "s", "lead", F.coalesce("to", "s").alias("label"))
@@ -390,10 +389,12 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
 
     pair = (F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b"))
     grown(open_.where("s != lead").groupBy("s").agg(F.min("lead").alias("lead")).select(*pair))
-    grown(open_.where("label != first").select(*pair))
-    for nearest in (1, 1, None):  # near copies grow together first; then every pair that is left
+    grown(open_.where("label != first").select(*pair).distinct())
+    for nearest in (1, None):  # near copies grow together first; then every pair that is left
+        if open_.isEmpty():
+            break
         some = open_.where(F.pmod(F.xxhash64("run", F.lit(7)), F.lit(NEAREST_SHARE)) == 0) if nearest else open_
-        grown(across(some.select("run", "s", "label").join(facts, "s"), percent, parts, nearest))
+        grown(across(some.select("run", "s", "label").join(facts, "s"), percent, parts, nearest), sketched=True)
     forget(spark, open_)
     forget(spark, sets)
     classes = base.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"))
