@@ -178,3 +178,21 @@ def test_strategies_and_ends(spark):
     seen = spark.sparkContext.accumulator(0)
     assert f.inspect_rows(lambda r: seen.add(r["x"])).inspect_batch(lambda p: seen.add(len(p))).count().collect()[0]["n"] == 3
     assert seen.value == 9
+
+
+def test_associative_reduce_and_fold_keep_the_order(spark):
+    f = from_epochs(spark, [(e, [f"{e}{chr(97 + k)}" for k in range(40)]) for e in range(3)], "x string")
+    whole = {r["epoch"]: r["x"] for r in f.reduce(lambda a, x: F.concat(a, x), "x").collect()}
+    assert {r["epoch"]: r["x"] for r in f.reduce(lambda a, x: F.concat(a, x), "x", associative=True).collect()} == whole
+    init, step = F.array().cast("array<string>"), lambda a, x: F.concat(a, F.array(x))
+    got = f.fold(init, step, "x", "all", merge=lambda a, b: F.concat(a, b)).collect()
+    assert {r["epoch"]: "".join(r["all"]) for r in got} == whole
+
+
+def test_places_within_epochs(spark):
+    from tidemark.operators.flow import numbered
+
+    f = from_epochs(spark, [(k % 2, [k]) for k in range(500)])
+    got = sorted((r["epoch"], r["seq"], r["i"]) for r in numbered(f.df, ["epoch", "seq"], ["epoch"]).collect())
+    assert got == [(e, 2 * i + e, i + 1) for e in (0, 1) for i in range(250)]
+    assert numbered(f.df.limit(0), ["seq"]).count() == 0

@@ -177,6 +177,13 @@ def reduce_ordered_epoch(spark, sf_dir):
     return events(spark, sf_dir).reduce(lambda a, x: (a * 31 + x) % 1000003, "cents").df
 
 
+@query("reduce_associative_epoch", f"WITH {E} SELECT epoch, string_agg(user_id::VARCHAR, ',' ORDER BY seq) AS users FROM e WHERE cents > 20000 GROUP BY 1")
+def reduce_associative_epoch(spark, sf_dir):
+    """A reduction that depends on order but not on how it is bracketed."""
+    f = events(spark, sf_dir).filter("cents > 20000").map(users="cast(user_id as string)")
+    return f.reduce(lambda a, x: F.concat(a, F.lit(","), x), "users", associative=True).df
+
+
 @query("fold_collect_sorted", f"WITH {E} SELECT epoch, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM e GROUP BY 1")
 def fold_collect_sorted(spark, sf_dir):
     return events(spark, sf_dir).aggregate(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users")).df
@@ -185,7 +192,7 @@ def fold_collect_sorted(spark, sf_dir):
 @query("fold_product", f"WITH {E} SELECT epoch, list_reduce(list_prepend(1::BIGINT, list(user_id + 1 ORDER BY seq)), lambda a, x: a * x % 1000003)::BIGINT AS product FROM e GROUP BY 1")
 def fold_product(spark, sf_dir):
     f = events(spark, sf_dir)
-    return f.over(f.df.withColumn("u", F.col("user_id") + 1)).fold(F.lit(1).cast("long"), lambda a, x: a * x % 1000003, "u", "product").df
+    return f.over(f.df.withColumn("u", F.col("user_id") + 1)).fold(F.lit(1).cast("long"), lambda a, x: a * x % 1000003, "u", "product", merge=lambda a, b: a * b % 1000003).df
 
 
 @query("distinct_per_epoch", f"WITH {E} SELECT epoch, event_type, user_id % 10 AS u, min(seq) AS seq FROM e GROUP BY ALL")
@@ -425,7 +432,7 @@ def context_threshold(spark, sf_dir):
 
 @query("chunk_500", f"WITH {E} SELECT epoch, (i // 500)::BIGINT AS chunk, count(*)::BIGINT AS n FROM (SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY seq) - 1 AS i FROM e) GROUP BY 1, 2")
 def chunk_500(spark, sf_dir):
-    d = flow.numbered(events(spark, sf_dir).df.select("epoch", "seq"), ["seq"], ["epoch"])
+    d = flow.numbered(events(spark, sf_dir).df.select("epoch", "seq"), ["epoch", "seq"], ["epoch"])
     return d.groupBy("epoch", F.floor((F.col("i") - 1) / 500).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -87,11 +87,11 @@ class TimedFrame:
         """One row per epoch (and keys) that has rows; none for others."""
         return self.over(self.df.groupBy(*self.time, *by).agg(*aggs), seq=None)
 
-    def reduce(self, f: Callable[[Column, Column], Column], value: str, by: Sequence[str] = ()) -> TimedFrame:
-        return self.over(aggregate.reduce(self.df, [*self.time, *by], self.ordered("reduce"), value, f), seq=None)
+    def reduce(self, f: Callable[[Column, Column], Column], value: str, by: Sequence[str] = (), associative: bool = False) -> TimedFrame:
+        return self.over(aggregate.reduce(self.df, [*self.time, *by], self.ordered("reduce"), value, f, associative), seq=None)
 
-    def fold(self, init: Column, f: Callable[[Column, Column], Column], value: str, name: str = "value", by: Sequence[str] = ()) -> TimedFrame:
-        return self.over(aggregate.fold(self.df, [*self.time, *by], self.ordered("fold"), value, init, f, name), seq=None)
+    def fold(self, init: Column, f: Callable[[Column, Column], Column], value: str, name: str = "value", by: Sequence[str] = (), merge: Callable[[Column, Column], Column] | None = None) -> TimedFrame:
+        return self.over(aggregate.fold(self.df, [*self.time, *by], self.ordered("fold"), value, init, f, name, merge), seq=None)
 
     def count(self, by: Sequence[str] = (), name: str = "n") -> TimedFrame:
         return self.aggregate(F.count(F.lit(1)).alias(name), by=by)
