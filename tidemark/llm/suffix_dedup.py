@@ -39,7 +39,9 @@ from .words import bounds, distinct, expand, mixed, pack, powers, runs, squeeze,
 
 MIN_WORDS, SEED = 50, 25
 #: A worker sends what it has gathered when it holds so many places, or documents.
-FLUSH_PLACES, FLUSH_DOCS = 2_000_000, 60_000
+FLUSH_PLACES, FLUSH_DOCS = 1_000_000, 60_000
+#: Neighbours that are compared at a time.
+BLOCK = 20_000
 NO_ID = 2**63 - 1
 
 _U = np.uint64
@@ -140,30 +142,36 @@ def _received(pdf: pd.DataFrame, width: int = 0) -> tuple[np.ndarray, ...]:
     doc = [expand(d, "<u2") for d in pdf["docs"]]
     ids = np.concatenate([np.frombuffer(i, "<i8")[d] for i, d in zip(pdf["ids"], doc)])
     rows = np.concatenate([np.frombuffer(r, "<i8")[d] for r, d in zip(pdf["rows"], doc)])
-    more = np.concatenate([np.frombuffer(m, "<u4").reshape(-1, width) for m in pdf["more"]]) if width else np.empty((len(keys), 0), "<u4")
     order = np.lexsort((place, rows, ids, keys))
-    keys, ids, rows, place, more = keys[order], ids[order], rows[order], place[order], more[order]
+    k, r, p = keys[order], rows[order], place[order]
     fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])
-    keys, ids, rows, place, more = keys[fresh], ids[fresh], rows[fresh], place[fresh], more[fresh]
-    n = np.diff(runs(keys))
-    many = np.repeat(n, n) > 1
-    return keys[many], ids[many], rows[many], place[many], more[many]
+    fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+    order = order[fresh]
+    n = np.diff(runs(keys[order]))
+    order = order[np.repeat(n, n) > 1]
+    more = np.concatenate([np.frombuffer(m, "<u4").reshape(-1, width) for m in pdf["more"]])[order] if width else None
+    return keys[order], ids[order], rows[order], place[order], more
 
 
-def _classes(keys: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Suffixes (rows of words) sorted within equal keys and compared with their neighbours: for each depth 0, 1, ...
-    the class of each suffix, those that agree in key and so many words."""
+def _sorted(keys: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by key and words of context: their order, and in how many words each agrees with its neighbour
+    before; -1 if not in the key."""
     n, width = context.shape
-    own = np.concatenate([keys.astype("<u8").view("<u4").reshape(n, 2), context], axis=1)
-    order = np.argsort(np.ascontiguousarray(own).view(f"V{4 * (width + 2)}").ravel(), kind="stable") if n else np.empty(0, np.int64)
-    x, k = context[order], keys[order]
-    agree = np.ones((n, width + 1), bool)
-    agree[1:, 0] = k[1:] == k[:-1]
-    agree[1:, 1:] = np.logical_and.accumulate((x[1:] == x[:-1]) & agree[1:, :1], axis=1)
-    agree[:1] = False
-    out = np.empty((width + 1, n), np.int64)
-    out[:, order] = np.cumsum(~agree, axis=0).T
+    x = np.concatenate([keys.astype("<u8").view("<u4").reshape(n, 2), context], axis=1)
+    order = np.argsort(x.view(f"V{4 * (width + 2)}").ravel(), kind="stable")
+    agree = np.full(n, -1, np.int16)
+    for a in range(1, n, BLOCK):
+        i, j = order[a - 1 : a - 1 + BLOCK], order[a : a + BLOCK]
+        differ = x[i[: len(j)]] != x[j]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width + 2)
+        agree[a : a + BLOCK] = np.where(first < 2, -1, first - 2)
+    return order, agree
+
+
+def _class_of(order: np.ndarray, agree: np.ndarray, depth: int) -> np.ndarray:
+    """The class of each suffix: those that agree in key and so many words, which are neighbours."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(agree < depth)
     return out
 
 
@@ -172,10 +180,10 @@ def _repeats(keys: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.nd
     before the suffix is repeated, of the second whether it is the first of its kind."""
     n, width = left.shape
     repeated, first = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    before, after = _classes(keys, left), _classes(keys, right)
+    before, after = _sorted(keys, left), _sorted(keys, right)
     for l in range(width + 1):
         own = np.flatnonzero((least <= l) & (l <= most))
-        c = before[l][own] * (n + 2) + after[width - l][own]
+        c = _class_of(*before, l)[own] * (n + 2) + _class_of(*after, width - l)[own]
         order = np.argsort(c, kind="stable")
         r = runs(c[order])
         size = np.diff(r)
