@@ -40,6 +40,8 @@ from .words import bounds, distinct, expand, mixed, pack, powers, runs, squeeze,
 MIN_WORDS, SEED = 50, 25
 #: A worker sends what it has gathered when it holds so many places, or documents.
 FLUSH_PLACES, FLUSH_DOCS = 1_000_000, 60_000
+#: Groups of suffixes a shuffle partition: a worker holds one at a time.
+GROUPS = 4
 #: Neighbours that are compared at a time.
 BLOCK = 20_000
 NO_ID = 2**63 - 1
@@ -242,7 +244,7 @@ def row_key(doc: str, text: str):
 def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
     """row (row_key of the document), repeated and removed: arrays of spans of word numbers [start, stop), for
     the documents that hold repeated passages."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = GROUPS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), row_key(doc, text).alias("row"))
     width = words - seed
     if not 0 < width < 64:
