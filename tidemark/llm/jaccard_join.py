@@ -375,7 +375,9 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
         out.  sketched: their sketches have been compared."""
         nonlocal labels, open_
         fit = written(pairs if sketched else promising(pairs, facts, percent), "jaccard-fit")
+        release(spark)
         links = written(linked(fit, sets, percent), "jaccard-links")
+        release(spark)
         labels = merged(labels, links)
         for t in (fit, links):
             forget(spark, t)
