@@ -246,3 +246,40 @@ def test_one_id_with_two_texts_learns_the_same_each_time(docs):  # noqa: F811
     labels = docs(rows).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
     one, two = toxicity.fit(docs(rows), labels), toxicity.fit(docs(rows[::-1]).repartition(3), labels)
     assert one[0].tolist() == two[0].tolist() and one[2] == two[2]
+
+
+# ---- disk and memory of the Jaccard join -----------------------------------------------------------------
+
+
+def test_keys_are_flushed_in_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    keys, names = [r.integers(0, 2**64, 1000, dtype=np.uint64) for _ in range(1000)], list(range(1000))
+    want = sorted((int(x >> np.uint64(16)), n) for k, n in zip(keys, names) for x in k)
+    tracemalloc.start()
+    out = jaccard_join.flushed(keys, [1000] * 1000, names, 48, words.bounds(8) >> np.uint64(16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * 8_000_000, peak
+    got = []
+    for b in out.to_pylist():
+        own = np.frombuffer(b["names"], "<i8")[np.frombuffer(b["sets"], "<u2")]
+        got += zip(words.unpack(b["keys"]).tolist(), own.tolist())
+    assert sorted(got) == want
+
+
+def test_workers_give_memory_back():
+    import os
+
+    import psutil
+
+    from tidemark.llm import memos
+
+    own = psutil.Process(os.getpid())
+    kept = [bytes(100_000) + bytes([k % 256]) for k in range(3000)]  # below the size that is mapped by itself
+    memos.serve("test")
+    full, some = own.memory_info().rss, kept[::50]
+    del kept
+    memos.serve("test")
+    assert full - own.memory_info().rss > 200_000_000 and len(some) == 60

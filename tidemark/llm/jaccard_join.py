@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError
 from .common import batches_of, forget, maybe_in, release, table, written
 from .graph import merged
-from .memos import serve
+from .memos import serve, trimmed
 from .suffix_dedup import row_key
 from .words import bounds, mixed, pack, runs, shingle_set, unpack
 
@@ -54,6 +54,8 @@ NEAREST_SHARE = 8
 
 #: Members of a run that are compared with each other in one piece.
 MEMBERS = 1_024
+#: Groups of pieces a shuffle partition: a worker holds one at a time.
+GROUPS = 4
 
 _U = np.uint64
 _CONTENT = _U((1 << 44) - 1)
@@ -134,30 +136,38 @@ def named_sets(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc, text).alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, s long")
 
 
+def flushed(keys: list, own: list, names: list, bits: int, cuts: np.ndarray) -> pa.RecordBatch:
+    """The keys of sets (own: how many each has) by their upper bits, a row for each part between cuts; empties keys.
+    In place as far as it goes: there are millions of keys."""
+    k = np.concatenate(keys)
+    keys.clear()
+    k >>= _U(64 - bits)
+    if bits <= 48:  # one sort of both
+        k <<= _U(16)
+        k |= np.repeat(np.arange(len(own), dtype=_U), own)
+        k.sort()
+        d = k.astype(np.uint16)  # the lower 16 bits
+        k >>= _U(16)
+    else:
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], np.repeat(np.arange(len(own), dtype=np.uint16), own)[order]
+    at, names = np.append(np.searchsorted(k, cuts), len(k)), np.array(names, np.int64)
+    rows, short = [], np.zeros(len(own), "<u2")
+    for p, (a, b) in enumerate(zip(at, at[1:])):
+        if b > a:
+            used = np.flatnonzero(np.bincount(d[a:b], minlength=len(own)))
+            short[used] = np.arange(len(used))
+            rows.append((p, pack(k[a:b]), short[d[a:b]].tobytes(), names[used].astype("<i8").tobytes()))
+    cols = list(zip(*rows)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "sets", "names"])
+
+
 def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
     """run, s, lead: sets that meet in a part of a sketch; lead is the run's least s.  Runs of one set are left out."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bits = min(64, 36 + 2 * math.ceil(math.log2(parts + 1)))  # a shorter key can only make sets meet that need not
     cuts = bounds(parts) >> _U(64 - bits)
 
-    def flushed(keys: list, own: list, names: list) -> pa.RecordBatch:
-        k, d, names = np.concatenate(keys) >> _U(64 - bits), np.repeat(np.arange(len(own), dtype=_U), own), np.array(names, np.int64)
-        if bits <= 48:  # one sort of both
-            x = np.sort(k << _U(16) | d)
-            k, d = x >> _U(16), (x & _U(0xFFFF)).astype(np.int64)
-        else:
-            order = np.argsort(k, kind="stable")
-            k, d = k[order], d[order].astype(np.int64)
-        at = np.append(np.searchsorted(k, cuts), len(k))
-        rows, short = [], np.zeros(len(own), "<u2")
-        for p, (a, b) in enumerate(zip(at, at[1:])):
-            if b > a:
-                used = np.flatnonzero(np.bincount(d[a:b], minlength=len(own)))
-                short[used] = np.arange(len(used))
-                rows.append((p, pack(k[a:b]), short[d[a:b]].tobytes(), names[used].astype("<i8").tobytes()))
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "sets", "names"])
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve("jaccard")
         keys, own, names, total, known = [], [], [], 0, set()
@@ -173,10 +183,10 @@ def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
                 names.append(name)
                 total += len(k)
                 if total > FLUSH_PARTS or len(own) >= FLUSH_DOCS:
-                    yield flushed(keys, own, names)
+                    yield flushed(keys, own, names, bits, cuts)
                     keys, own, names, total, known = [], [], [], 0, set()
         if own:
-            yield flushed(keys, own, names)
+            yield flushed(keys, own, names, bits, cuts)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([unpack(k) for k in pdf["keys"]])
@@ -197,7 +207,7 @@ def sketch_runs(docs: DataFrame, text: str) -> DataFrame:
         return pd.DataFrame({"run": keys[many].astype(np.int64), "s": s[many], "lead": np.repeat(s[r[:-1]], n)[many]})
 
     sent = docs.select(F.col(text).alias("text")).mapInArrow(send, "part int, keys binary, sets binary, names binary")
-    return sent.groupBy("part").applyInPandas(meet, "run long, s long, lead long")
+    return sent.groupBy("part").applyInPandas(trimmed("jaccard", meet), "run long, s long, lead long")
 
 
 def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
@@ -207,6 +217,7 @@ def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, tex
     own = maybe_in(docs.select(row_key(doc, text).alias("row"), F.col(text).alias("text")), "row", ids).join(ids, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("jaccard")
         known = set()  # rows of one key are repeated rows
         for b in batches:
             rows = []
@@ -231,6 +242,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     y = sets.select(F.col("s").alias("b"), F.col("shingles").alias("sb"))
 
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        serve("jaccard")
         for left, right in parts:
             out = []
             for p, q in zip(left, right):
@@ -276,6 +288,7 @@ def promising(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     y = facts.select(F.col("s").alias("b"), F.struct("n", "sketch").alias("fb"))
 
     def run(parts: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
+        serve("jaccard")
         for left, right in parts:
             k, at = _sketches([*left["sketch"], *right["sketch"]]), np.arange(len(left))
             yield pd.Series(fitting(k, np.concatenate([left["n"], right["n"]]).astype(np.int64), at, at + len(left), percent)[0], dtype=bool)
@@ -344,9 +357,9 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.withColumn("side", F.when(F.col("other") == F.col("block"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
     d = d.withColumn("piece", F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other")))
-    dealt = d.select("piece", "side", "s", "n", "sketch", "label", F.pmod("piece", F.lit(parts)).cast("int").alias("part"))
-    packed = dealt.groupBy("part").applyInPandas(run, "part int, a binary, b binary")  # pairs meet in many runs
-    return packed.groupBy("part").applyInPandas(once, "a long, b long")
+    dealt = d.select("piece", "side", "s", "n", "sketch", "label", F.pmod("piece", F.lit(parts * GROUPS)).cast("int").alias("part"))
+    packed = dealt.groupBy("part").applyInPandas(trimmed("jaccard", run), "part int, a binary, b binary")  # pairs meet in many runs
+    return packed.groupBy("part").applyInPandas(trimmed("jaccard", once), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, rows: bool = False) -> DataFrame:
