@@ -251,6 +251,30 @@ def test_one_id_with_two_texts_learns_the_same_each_time(docs):  # noqa: F811
 # ---- disk and memory of the Jaccard join -----------------------------------------------------------------
 
 
+def test_sketches_travel_once(spark, tmp_path):
+    """Exchanges that carry sketches: of the facts, and of the members to their groups."""
+    d = spark.range(40).select((F.col("id") % 3).alias("run"), F.col("id").alias("s"), F.col("id").alias("label"), F.lit(100).cast("long").alias("n"), F.lit(bytes(32)).alias("sketch"))
+    d.write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard_join.across(d.select("run", "s", "label"), d.select("s", "n", "sketch"), 75, 4, None)
+        plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = [x for x in plan.split("\n\n") if "Exchange\n" in x and "sketch" in x]
+    assert len(sent) == 2 and got.count() == sum(len(range(k, 40, 3)) * (len(range(k, 40, 3)) - 1) // 2 for k in range(3))
+
+
+def test_sets_of_no_pair_are_not_sent(spark, tmp_path):
+    s = np.arange(1, 31, dtype=np.uint64) * np.uint64(1 << 20)
+    spark.createDataFrame([(k, 30, bytearray(words.pack(s if k < 2 else s + np.uint64(k)))) for k in range(5000)], "s long, n long, shingles binary").write.parquet(f"{tmp_path}/s")
+    spark.createDataFrame([(0, 1), (1, 4)], "a long, b long").write.parquet(f"{tmp_path}/p")
+    got = jaccard_join.linked(spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/s"))
+    assert [tuple(r) for r in got.collect()] == [(0, 1)]
+    assert "bit_or" in got._jdf.queryExecution().toString()
+
+
 def test_keys_are_flushed_in_little_memory():
     import tracemalloc
 

@@ -237,7 +237,9 @@ def set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, doc: str, tex
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows a, b of pairs whose sets link: 100 * intersection >= percent * union."""
+    """The rows a, b of pairs whose sets link: 100 * intersection >= percent * union.  pairs is a written table; sets
+    that are in none stay out of the exchanges."""
+    sets = maybe_in(sets, "s", pairs.select(F.explode(F.array("a", "b")).alias("s")))
     x = sets.select(F.col("s").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("s").alias("b"), F.col("shingles").alias("sb"))
 
@@ -296,12 +298,13 @@ def promising(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(F.pandas_udf(run, "boolean")("fa", "fb")).select("a", "b")
 
 
-def across(members: DataFrame, percent: int, parts: int, nearest: int | None) -> DataFrame:
-    """a, b: all pairs of sets of a run (run, s, n, sketch, label) that have different labels and that sizes and
-    sketches allow to link; nearest: of them, each set's so many nearest by sketch.
+def across(members: DataFrame, facts: DataFrame, percent: int, parts: int, nearest: int | None) -> DataFrame:
+    """a, b: all pairs of sets of a run (run, s, label) that have different labels and that sizes and sketches (facts:
+    s, n, sketch) allow to link; nearest: of them, each set's so many nearest by sketch.
 
     A run's members are dealt to blocks of about MEMBERS, and each pair of blocks is a piece of work of its own:
-    pieces are dealt to tasks by hash, many to a group, and compared by distance in the piece."""
+    pieces are dealt to tasks by hash, many to a group, and compared by distance in the piece.  Sketches, which are
+    most of the bytes, join last and so travel once with the members."""
 
     def pairs_of(piece: np.ndarray, label: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of pairs with different labels (and sides, if a piece has two) within pieces (sorted), a block
@@ -357,7 +360,7 @@ def across(members: DataFrame, percent: int, parts: int, nearest: int | None) ->
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.withColumn("side", F.when(F.col("other") == F.col("block"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
     d = d.withColumn("piece", F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other")))
-    dealt = d.select("piece", "side", "s", "n", "sketch", "label", F.pmod("piece", F.lit(parts * GROUPS)).cast("int").alias("part"))
+    dealt = d.select("piece", "side", "s", "label", F.pmod("piece", F.lit(parts * GROUPS)).cast("int").alias("part")).join(facts, "s")
     packed = dealt.groupBy("part").applyInPandas(trimmed("jaccard", run), "part int, a binary, b binary")  # pairs meet in many runs
     return packed.groupBy("part").applyInPandas(trimmed("jaccard", once), "a long, b long")
 
@@ -409,7 +412,7 @@ def _components(docs: DataFrame, doc: str, text: str, percent: int) -> DataFrame
         if open_.isEmpty():
             break
         some = open_.where(F.pmod(F.xxhash64("run", F.lit(7)), F.lit(NEAREST_SHARE)) == 0) if nearest else open_
-        grown(across(some.select("run", "s", "label").join(facts, "s"), percent, parts, nearest), sketched=True)
+        grown(across(some.select("run", "s", "label"), facts, percent, parts, nearest), sketched=True)
     forget(spark, open_)
     forget(spark, sets)
     classes = base.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"))
