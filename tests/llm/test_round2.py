@@ -307,3 +307,34 @@ def test_workers_give_memory_back():
     del kept
     memos.serve("test")
     assert full - own.memory_info().rss > 200_000_000 and len(some) == 60
+
+
+# ---- 4 encoding: chunks and pieces -----------------------------------------------------------------------
+
+
+def test_chunks_encode_each_piece_once():
+    from tokenizers import Tokenizer
+
+    v = bpe.Vocabulary(open(bpe.default_path(), encoding="utf-8").read())
+    library = Tokenizer.from_file(bpe.default_path())
+    r = random.Random(4)
+    some = ["Zqxavel", "élan", "they're", "x²", "a1", "\x1c", "\n", "\t\t", "_", "…", ",", "!!", "don't", "日本", "5", "'s", "\x0bq", "ñ"]
+    texts = [" ".join("".join(r.choices(some, k=r.randrange(4))) for _ in range(30)) for _ in range(300)]
+    e, small, asked = bpe.Encoder(v), bpe.Encoder(v, memo=8), []
+    own = e.piece
+    e.piece = lambda p: asked.append(p) or own(p)
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(e.encode(t)).cast("I")) == want == list(memoryview(small.encode(t)).cast("I")), t
+    asked.clear()
+    for mark in (".", ",", ";", "!", "?"):
+        e.encode(f"so Wqzuvoth{mark} Wqzuvoth")
+    assert asked.count(" Wqzuvoth") <= 2  # of a chunk, and of the chunks that hold it
+
+
+def test_plain_pieces_are_the_patterns():
+    ascii_ = [chr(c) for c in range(128)]
+    for t in [a + b + c for a in ascii_ for b in " 'aZ0_.\n\t\x0b\x1c\x1f" for c in ascii_]:
+        assert bpe.PLAIN.findall(" " + t) == bpe.PIECES.findall(" " + t), ascii(t)
+    sure = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not bpe.UNSURE.search(chr(c))]
+    assert all(c.isalpha() == (bpe.PIECES.findall(" " + c + "a") == [" " + c + "a"]) for c in sure if not c.isspace())

@@ -6,8 +6,8 @@ points into one array of ids).  Its bytes are sent to the workers, which map the
 the automaton lacks is merged pair by pair, lowest rank first, which gives the same ids.
 
 Texts are cut at every space before a visible character, which is always a border of the pre-tokenizer's
-pieces, so what was encoded once per such chunk serves all its occurrences in a worker.  The memo of a worker
-is emptied when it is full; this changes no result.
+pieces, so what was encoded once per such chunk serves all its occurrences in a worker, and what was encoded per
+piece serves all chunks that hold it.  The memos of a worker are emptied when they are full; this changes no result.
 
 Defined results: null and empty texts have no ids; special tokens in a text get their ids; repeated rows are
 encoded each; an empty table gives an empty result.
@@ -42,9 +42,13 @@ LEXICON_LEAST = 8
 LEXICON_BYTES = 64
 #: Entries of a worker's memo.
 MEMO = 600_000
+#: Arcs of the automaton that a worker keeps at hand.
+ARCS = 1 << 17
 
 # Fixed value: the pre-tokenizer's pattern.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: The same for ASCII, where it is faster.
+PLAIN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
 #: Characters on whose class every Unicode version since 2014 agrees; texts with others are cut by the library itself.
 UNSURE = re.compile("[^\x00-ԯ؀-؅ऀ-॔‐- ‰-⁞₠-₹←-⏳─-➿、-〩ぁ-ゖァ-ヺ一-鿌가-힣！-～]")
 #: A space that may not be a border.
@@ -134,16 +138,26 @@ class Lexicon:
             at += n
         self.offsets, self.targets, self.outputs, self.starts, self.ids = (p.cast("I") for _, p in parts[:5])
         self.labels, self.final = parts[5][0], parts[6][1]
+        self.known: dict[int, int] = {}  # state << 8 | label: target << 32 | output, or -1
+
+    def _arc(self, state: int, label: int) -> int:
+        """The target and the output of a state's arc, or -1."""
+        arc = self.map.find(bytes([label]), self.labels + self.offsets[state], self.labels + self.offsets[state + 1]) - self.labels
+        return -1 if arc < 0 else self.targets[arc] << 32 | self.outputs[arc]
 
     def find(self, word: bytes) -> bytes | None:
         """The ids of word as little-endian 32-bit numbers, or None."""
-        state, number, find, base = self.root, 0, self.map.find, self.labels
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], base + self.offsets[state], base + self.offsets[state + 1]) - base
+        state, number, known = self.root, 0, self.known
+        if len(known) > ARCS:
+            known.clear()
+        for b in word:
+            arc = known.get(state << 8 | b)
+            if arc is None:
+                arc = known[state << 8 | b] = self._arc(state, b)
             if arc < 0:
                 return None
-            number += self.outputs[arc]
-            state = self.targets[arc]
+            number += arc & 0xFFFFFFFF
+            state = arc >> 32
         if not self.final[state]:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tobytes()
@@ -217,7 +231,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: bytes | None = None, memo: int = MEMO):
         self.v, self.most = vocabulary, memo
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.chunk_ids: dict[str, bytes] = {}
+        self.chunk_ids: dict[str, bytes] = {}  # of a space and the chunk
+        self.piece_ids: dict[str, bytes] = {}  # of pieces of longer chunks
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
         self._library = None
 
@@ -234,6 +249,21 @@ class Encoder:
         word = piece.encode()
         return self.lexicon and self.lexicon.find(word) or array("I", self.v.merge(word)).tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a space and a chunk without characters of UNSURE.  A space and letters are a piece, and so a
+        chunk that the memo of chunks may know as well."""
+        if chunk.isalpha():
+            return self.piece(" " + chunk)
+        out = []
+        for p in (PLAIN if chunk.isascii() else PIECES).findall(" " + chunk):
+            ids = self.piece_ids.get(p)
+            if ids is None and p[0] == " " and p[1:2].isalpha():
+                ids = self.chunk_ids.get(p[1:])
+            if ids is None:
+                ids = self.piece_ids[p] = self.piece(p)
+            out.append(ids)
+        return b"".join(out)
+
     def _plain(self, text: str) -> bytes:
         """The ids of a text without special tokens."""
         if UNSURE.search(text):
@@ -243,10 +273,12 @@ class Encoder:
         memo = self.chunk_ids
         if len(memo) > self.most:
             memo.clear()
+        if len(self.piece_ids) > self.most // 4:
+            self.piece_ids.clear()
         for c in chunks[1:]:
             ids = memo.get(c)
             if ids is None:
-                ids = memo[c] = b"".join(map(self.piece, PIECES.findall(" " + c)))
+                ids = memo[c] = self._chunk(c)
             out.append(ids)
         return b"".join(out)
 
