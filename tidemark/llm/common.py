@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,20 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+#: How long release() waits for Spark's events.
+EVENTS_MS = 10_000
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of frames that are out of use.  It follows the driver's garbage
-    collection, which by itself may come long after the disks are full."""
+    collection, which by itself may come long after the disks are full.
+
+    Spark's event queues hold their last event until the next one, and with it the plan and the shuffle files of the
+    query that ended last; so a statement without jobs comes between."""
     gc.collect()
+    spark.sql("SELECT 1").collect()
+    with contextlib.suppress(Py4JJavaError):  # events that take longer only leave files to the next release
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(EVENTS_MS)
     spark.sparkContext._jvm.System.gc()
 
 
