@@ -1,11 +1,11 @@
-"""Cases of the third round: shuffle files on disk."""
+"""Cases of the third round: shuffle files on disk, memory of workers."""
 
 import glob
 import time
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, suffix_dedup
 
 
 def test_released_files_of_the_last_query_go(spark, tmp_path):
@@ -20,3 +20,13 @@ def test_released_files_of_the_last_query_go(spark, tmp_path):
     while own & files() and time.time() < end:
         time.sleep(0.1)
     assert not own & files()
+
+
+def test_groups_of_suffixes_give_memory_back(spark, monkeypatch):
+    named, trimmed = [], suffix_dedup.trimmed
+    monkeypatch.setattr(suffix_dedup, "trimmed", lambda owner, f: named.append((owner, f.__name__)) or trimmed(owner, f))
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")
+    got = {r["row"]: [tuple(x) for x in r["removed"]] for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert sorted(got.values()) == [[], [(0, 60)]]
+    assert {f for o, f in named if o == "suffix"} == {"equal", "extended", "gather"}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from .common import WORD, forget, maybe_in, release, table, written
-from .memos import serve
+from .memos import serve, trimmed
 from .words import bounds, distinct, expand, mixed, pack, powers, runs, squeeze, unpack, word_hashes
 
 MIN_WORDS, SEED = 50, 25
@@ -209,7 +209,7 @@ def _by_document(met: DataFrame) -> DataFrame:
         g = runs(rows)
         return pd.DataFrame([(int(rows[a]), squeeze(place[a:b].astype("<u4")), *(squeeze(m[a:b].astype("<u8")) for m in masks)) for a, b in zip(g, g[1:])], columns=["row", "places", "repeated", "first"])
 
-    return met.groupBy("part").applyInPandas(gather, "row long, places binary, repeated binary, first binary")
+    return met.groupBy("part").applyInPandas(trimmed("suffix", gather), "row long, places binary, repeated binary, first binary")
 
 
 def _dealt(rows: np.ndarray, place: np.ndarray, repeated: np.ndarray, first: np.ndarray, parts: int) -> pd.DataFrame:
@@ -266,10 +266,11 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
         _, _, rows, place, _ = _received(pdf)
         return _dealt(rows, place, np.zeros(len(rows), _U), np.zeros(len(rows), _U), parts)
 
-    met = d.mapInArrow(seeds, _SENT).groupBy("part").applyInPandas(equal, _MET)
+    met = d.mapInArrow(seeds, _SENT).groupBy("part").applyInPandas(trimmed("suffix", equal), _MET)
     matches = written(_by_document(met).select("row", "places"), "suffix-matches")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("suffix")
         s = _Sender(parts, 2 * width + 1)
         for b in batches:
             for i, t, r, p in zip(*b.columns):
@@ -296,9 +297,10 @@ def repeated_passages(docs: DataFrame, doc: str = "doc_id", text: str = "text",
         return _dealt(rows[some], place[some], repeated[some], first[some], parts)
 
     again = maybe_in(d, "row", matches.select("row")).join(matches, "row").select("id", "text", "row", "places")
-    found = _by_document(again.mapInArrow(contexts, _SENT).groupBy("part").applyInPandas(extended, _MET))
+    found = _by_document(again.mapInArrow(contexts, _SENT).groupBy("part").applyInPandas(trimmed("suffix", extended), _MET))
 
     def spans(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        serve("suffix")
         for pdf in parts_:
             out = []
             for row, *cols in zip(pdf["row"], pdf["places"], pdf["repeated"], pdf["first"]):
