@@ -461,8 +461,12 @@ def _streamed(spark, agg, mode: str):
 
 
 def _stream_of(spark, sf_dir, name: str):
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream, whether it is one file or a folder of them.  A file's path is given as a pattern, as a stream's
+    plain path must be a folder."""
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if folder else f"{sf_dir}/{name}.parque[t]")
 
 
 @query("stream_epoch_stats", f"WITH {E} SELECT epoch, count(*)::BIGINT AS n, sum(cents)::BIGINT AS total FROM e GROUP BY 1")
