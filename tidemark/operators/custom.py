@@ -43,14 +43,19 @@ def unary(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return df.mapInPandas(run, schema)
 
 
-def unary_notify(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, time: Sequence[str], by: Sequence[str] = (), name: str = "unary_notify") -> DataFrame:
-    """f gets an epoch (and key) when it is complete, which in batch it always is."""
+def unary_notify(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame] | Callable[[Iterator[pd.DataFrame]], pd.DataFrame], schema: str, time: Sequence[str], by: Sequence[str] = (), name: str = "unary_notify", batches: bool = False, capacity: int | None = None) -> DataFrame:
+    """f gets an epoch (and key) when it is complete, which in batch it always is: in one frame or, with batches, as an
+    iterator of frames of capacity rows at most, so that no task holds a whole epoch in Python."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         with named(name):
             return f(pdf)
 
-    return df.groupBy(*time, *by).applyInPandas(run, schema)
+    def run_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with named(name):
+            yield f(cut(parts, capacity))
+
+    return df.groupBy(*time, *by).applyInPandas(run_batches if batches else run, schema)
 
 
 def notify_at(df: DataFrame, f: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str, time: str, epochs: Sequence[int], name: str = "notify_at") -> DataFrame:

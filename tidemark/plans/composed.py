@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -108,11 +110,18 @@ def wordcount_epoch(spark, sf_dir):
 
 @query("notify_wordcount", f"WITH w AS ({_WORDS}) SELECT epoch, count(DISTINCT word)::BIGINT AS words, max(n)::BIGINT AS most FROM (SELECT epoch, word, count(*) AS n FROM w GROUP BY 1, 2) GROUP BY 1")
 def notify_wordcount(spark, sf_dir):
-    """A notification an epoch, with its distinct words and their counts."""
-    def told(words: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"epoch": words["epoch"].iloc[:1], "words": [len(words)], "most": [words["n"].max()]})
-
-    return _words(spark, sf_dir).count(by=["word"]).unary_notify(told, "epoch long, words long, most long").df
+    """Words are dealt to workers; each tells, an epoch, of its distinct words and their counts, as they come in batches.
+    What the workers told of an epoch is summed."""
+    def told(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        words = most = 0
+        for p in batches:
+            epoch, words, most = p["epoch"].iloc[0], words + len(p), max(most, p["n"].max())
+        return pd.DataFrame({"epoch": [epoch], "words": [words], "most": [most]})
+
+    f = _words(spark, sf_dir).count(by=["word"])
+    f = f.over(f.df.select("epoch", F.pmod(F.hash("word"), F.lit(32)).alias("worker"), "n"))
+    shares = f.unary_notify(told, "epoch long, words long, most long", by=["worker"], batches=True)
+    return shares.aggregate(F.sum("words").alias("words"), F.max("most").alias("most")).df
 
 
 @query("running_counts", f"WITH {E} SELECT event_type, seq, row_number() OVER (PARTITION BY event_type ORDER BY epoch, seq) AS n FROM e")

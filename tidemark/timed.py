@@ -175,8 +175,9 @@ class TimedFrame:
     def unary(self, f: Callable, schema: str, name: str = "unary") -> TimedFrame:
         return self.over(custom.unary(self.df, f, schema, self.capacity, name))
 
-    def unary_notify(self, f: Callable, schema: str, by: Sequence[str] = (), name: str = "unary_notify") -> TimedFrame:
-        return self.over(custom.unary_notify(self.df, f, schema, self.time, by, name))
+    def unary_notify(self, f: Callable, schema: str, by: Sequence[str] = (), name: str = "unary_notify", batches: bool = False) -> TimedFrame:
+        """f on each complete epoch (and key): on one frame or, with batches, on an iterator of frames."""
+        return self.over(custom.unary_notify(self.df, f, schema, self.time, by, name, batches, self.capacity))
 
     def notify_at(self, f: Callable, schema: str, epochs: Sequence[int], name: str = "notify_at") -> TimedFrame:
         """f(epoch, rows) once for each epoch with rows, and for those asked for that have none."""
